@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import SPACE_CLASS, settled, word_count
 
 #: Rows that a bucket of the key range holds on average.
-BUCKET_ROWS = 2048
+BUCKET_ROWS = 512
 
 
 def random_key(id_col: Column, seed: int) -> Column:
