@@ -7,12 +7,16 @@ from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .html_extract import op9_html_extraction
 from .langid import op3_language_id
 from .mixing import OP10_SQL, op10_mixing
+from .quality import op5_quality_rules
+from .toxicity import op2_toxicity
 from .warc import OP1_SQL, op1_warc
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op2_toxicity": op2_toxicity,
     "op3_language_id": op3_language_id,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_quality_rules": op5_quality_rules,
     "op6_exact_dedup": op6_exact_dedup,
     "op9_html_extraction": op9_html_extraction,
     "op10_mixing": op10_mixing,
