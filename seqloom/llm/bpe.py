@@ -90,7 +90,7 @@ class ByteBPE:
         if not text:
             return []
         splits, cache = self.split(text), self.cache
-        if new := [*(set(splits) - cache.keys())]:
+        if new := [s for s in set(splits) if s not in cache]:
             if len(cache) > CACHE_SPLITS:
                 cache.clear()
                 new = [*set(splits)]
