@@ -7,6 +7,7 @@ from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .html_extract import op9_html_extraction
 from .langid import op3_language_id
 from .mixing import OP10_SQL, op10_mixing
+from .ngram_join import OP8_SQL, op8_ngram_jaccard
 from .quality import op5_quality_rules
 from .toxicity import op2_toxicity
 from .warc import OP1_SQL, op1_warc
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_quality_rules": op5_quality_rules,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_html_extraction": op9_html_extraction,
     "op10_mixing": op10_mixing,
 }
@@ -25,5 +27,6 @@ QUERIES = {
 ORACLES = {
     "op1_warc": OP1_SQL,
     "op6_exact_dedup": OP6_SQL,
+    "op8_ngram_jaccard": OP8_SQL,
     "op10_mixing": OP10_SQL,
 }
