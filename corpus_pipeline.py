@@ -3,39 +3,68 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from seqloom.llm import bpe, toxicity
+from seqloom.llm.common import settled, written
 from seqloom.llm.exact_dedup import exact_dedup
 from seqloom.llm.mixing import mix, repeat_epochs
+from seqloom.llm.ngram_join import similar_sets
+
+#: Ids of dropped documents, up to which they are sent to every executor (8 bytes each); beyond, the join shuffles.
+BROADCAST_IDS = 300_000
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below the threshold. The model learns from the labels in sf_dir; null texts stay."""
+    model = toxicity.model_of(spark, sf_dir)
+    return docs.where(toxicity.score(model, spark, F.col("text")) < toxicity.THRESHOLD)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the largest doc_id stays."""
-    return exact_dedup(docs).where("kept").select(*docs.columns)
+    """Of equal texts, the row with the largest doc_id; of rows that repeat it, one."""
+    kept = exact_dedup(docs).where("kept")
+    again = settled(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if again.isEmpty():
+        return kept.select(*docs.columns)
+    once = kept.join(again, "doc_id", "left_anti")
+    twice = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text_sha256"])
+    return once.select(*docs.columns).union(twice.select(*docs.columns))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links of word shingles connect, the one with the smallest doc_id."""
+    found = similar_sets(docs)
+    dropped = settled(found.where("doc_id <> component_id").select("doc_id"))
+    return docs.join(F.broadcast(dropped) if dropped.count() <= BROADCAST_IDS else dropped, "doc_id", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; n_chars follows a text shortened at a source's cut."""
-    from pyspark.sql import functions as F
+    """Each document as often as the mix takes it; n_chars follows a text that is shortened at its source's cut."""
+    return repeat_epochs(mix(docs)).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
 
-    out = repeat_epochs(mix(docs))
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their byte-level BPE ids and the number of these."""
+    return bpe.encode(docs, bpe.vocabulary()).withColumn("n_tokens", F.size("input_ids").cast("long"))
 
 
 STAGES = [
+    ("toxicity", drop_toxic),
     ("exact dedup", drop_exact_copies),
+    ("n-gram Jaccard join", drop_near_copies),
     ("mixing sources", mix_sources),
+    ("byte-level BPE", tokenize),
 ]
 
-#: Scores of a trained model and byte-level BPE are beyond SQL; tests compare the stages with brute force.
+#: A trained model's scores and byte-level BPE are beyond SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; between two stages the rows are written to the shared folder and read back."""
-    from seqloom.llm.common import written
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = written(docs, f"pipeline-{k}")

@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from .common import LOWER, UPPER, bound_batches, settled, written
-from .components import components
 
 SHINGLE = 5
 #: Jaccard similarity from which documents link, in hundredths.
@@ -27,7 +27,8 @@ FREQUENT = 32
 EXTENSION = 0.04
 BATCH_BYTES = 4 << 20
 PART_TOKENS = 1 << 20
-BLOCK = 128
+#: Members of a block that probes are held against, and documents from which a component has groups of its own.
+BLOCK, LARGE = 128, 32
 #: Rounds of likely pairs before the exact one, and partners a document has in each of them.
 ROUNDS, PARTNERS = 2, 2
 SALTS = 8
@@ -215,47 +216,66 @@ def _likely(rows: DataFrame) -> DataFrame:
 
 
 def _block_links(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Links between the probes (right) and a block of one component's members (left); one per probe is enough."""
+    """Links between the probes (right) and a block of members (left), one for each component of the block that a probe meets."""
     out_a, out_b = [], []
     if left.num_rows and right.num_rows:
         members = [np.frombuffer(t, np.uint64) for t in left["tokens"].to_pylist()]
-        nodes, sizes = left["node"].to_pylist(), np.array([len(m) for m in members])
+        nodes, comps, sizes = left["node"].to_pylist(), left["comp"].to_pylist(), np.array([len(m) for m in members])
         owner = np.repeat(np.arange(len(members)), sizes)
         tokens = np.concatenate(members)
         order = np.argsort(tokens, kind="stable")
         tokens, owner = tokens[order], owner[order]
-        for node, raw in zip(right["probe"].to_pylist(), right["probe_tokens"].to_pylist(), strict=True):
+        for node, comp, raw in zip(*(right[c].to_pylist() for c in ("probe", "probe_comp", "probe_tokens")), strict=True):
             probe = np.frombuffer(raw, np.uint64)
             lo, hi = np.searchsorted(tokens, probe, "left"), np.searchsorted(tokens, probe, "right")
             width = hi - lo
             at = np.repeat(lo - np.concatenate([[0], np.cumsum(width)[:-1]]), width) + np.arange(width.sum())
             both = np.bincount(owner[at], minlength=len(members))
-            hits = np.flatnonzero(100 * both >= LEAST * (len(probe) + sizes - both))
-            if len(hits):
-                out_a.append(node)
-                out_b.append(nodes[hits[0]])
+            seen = {comp}
+            for k in np.flatnonzero(100 * both >= LEAST * (len(probe) + sizes - both)):
+                if comps[k] not in seen:
+                    seen.add(comps[k])
+                    out_a.append(node)
+                    out_b.append(nodes[k])
     return pa.Table.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
 
-def _remaining(rows: DataFrame, comps: DataFrame, reps: DataFrame) -> DataFrame:
-    """All links between components that meet under any key.
+def _remaining(rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """All links between components that meet under any key; rows have key, node, n, comp and the number k of documents under the key.
 
-    Of two such components every member of the smaller one is held against every member of the larger one, in
-    blocks; a link found ends the search in a block. No pair of documents becomes a row.
+    Documents are gathered into groups: those of a component of LARGE or more under the commonest of their keys,
+    and those of small components under theirs. A group lies under one key, and the documents of a family of near copies
+    fall into few groups. Two groups that meet under any key with sizes that fit are held against each other, the group of the
+    smaller component as probes against blocks of the other; a group of small components also against itself. So
+    neither pairs of documents nor pairs of components become rows.
     """
-    size = comps.groupBy("comp").agg(F.count("*").alias("size"))
-    met = rows.groupBy("key", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi")).join(size, "comp", "left").withColumn("size", F.coalesce("size", F.lit(1)))
-    shared = met.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
+    best = rows.groupBy("node").agg(F.max(F.struct("k", "key")).alias("home"), F.first("comp").alias("comp"))
+    size = best.groupBy("comp").agg(F.count("*").alias("size"))
+    big = F.when(F.col("size") >= LARGE, F.col("size")).otherwise(F.lit(0))
+    info = settled(
+        best.join(size, "comp").withColumn("big", big)
+        .select("node", "comp", "big", F.xxhash64("home.key", F.when(F.col("big") > 0, F.col("comp"))).alias("g"))
+    )
+    met = rows.drop("comp").join(info, "node").groupBy("key", "g").agg(
+        F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.first("big").alias("big")
+    )
+    shared = met.groupBy("key").agg(F.min("c0").alias("c0"), F.max("c1").alias("c1")).where("c0 <> c1").select("key")
     met = met.join(shared, "key")
     x, y = met.alias("x"), met.alias("y")
-    order = (F.struct("x.size", "x.comp") < F.struct("y.size", "y.comp")) & (100 * F.col("x.hi") >= LEAST * F.col("y.lo")) & (100 * F.col("y.hi") >= LEAST * F.col("x.lo"))
-    couples = settled(x.join(y, (F.col("x.key") == F.col("y.key")) & order).select(F.col("x.comp").alias("small"), F.col("y.comp").alias("large"), F.col("y.size").alias("size")).distinct())
-    blocks = F.ceil(F.col("size") / BLOCK).cast("long")
-    joined = reps.join(comps, "node", "left")
-    comp_of = F.coalesce("comp", "node")
-    member, prober = joined.select("node", comp_of.alias("comp"), "tokens"), joined.select(F.col("node").alias("probe"), comp_of.alias("small"), F.col("tokens").alias("probe_tokens"))
-    larger = member.join(couples.select(F.col("large").alias("comp"), "size").distinct(), "comp").select(F.col("comp").alias("large"), F.pmod(F.xxhash64("node"), blocks).alias("block"), "node", "tokens")
-    probes = couples.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).join(prober, "small").select(F.col("large").alias("to_large"), F.col("block").alias("to_block"), "probe", "probe_tokens")
+    ordered = F.struct("x.big", "x.c0", "x.g") <= F.struct("y.big", "y.c0", "y.g")
+    ordered = F.when((F.col("x.big") == 0) & (F.col("y.big") == 0), F.col("x.g") <= F.col("y.g")).otherwise(ordered)
+    apart = F.least("x.c0", "y.c0") < F.greatest("x.c1", "y.c1")
+    fits = (100 * F.col("x.hi") >= LEAST * F.col("y.lo")) & (100 * F.col("y.hi") >= LEAST * F.col("x.lo"))
+    couples = settled(x.join(y, (F.col("x.key") == F.col("y.key")) & ordered & apart & fits).select(F.col("x.g").alias("small"), F.col("y.g").alias("large")).distinct())
+    blocks = info.groupBy(F.col("g").alias("large")).agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
+    tokens = reps.select("node", "tokens")
+    asked = couples.join(blocks, "large")
+    larger = info.select("node", "comp", F.col("g").alias("large")).join(asked.select("large", "blocks").distinct(), "large")
+    larger = larger.select("large", F.pmod(F.xxhash64("node"), "blocks").alias("block"), "node", "comp").join(tokens, "node")
+    probes = asked.join(info.select(F.col("g").alias("small"), "node", F.col("comp").alias("probe_comp")), "small").join(tokens, "node").select(
+        F.col("large").alias("to_large"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("to_block"),
+        F.col("node").alias("probe"), "probe_comp", F.col("tokens").alias("probe_tokens"),
+    )
     return larger.groupBy("large", "block").cogroup(probes.groupBy("to_large", "to_block")).applyInArrow(_block_links, "a long, b long")
 
 
@@ -263,7 +283,7 @@ def similar_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """(doc_id, n_shingles, component_id) of each row: component_id is the smallest id that links reach.
 
     Documents with equal sets are one node. Two rounds verify likely pairs (neighbours under a key) and
-    join what links into components; the last one holds all components that meet under a key against each other, so
+    join what links into components; the last step holds all components that meet under a key against each other, so
     the partners kept in the first rounds save work and decide nothing. Token counts cover all documents; they go to
     32-bit keys by part and come back as one byte per token, aligned with the tokens of a batch, so
     counting moves 4 bytes per token. A hot token is one entry per batch, a hot set one row per batch.
@@ -287,8 +307,8 @@ def similar_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     held = index.where("keys IS NOT NULL").dropDuplicates(["node"]).select("node", "n", "keys", "tokens")
     reps = written(held, "shingle-sets")
     keyed = reps.select("node", "n", F.explode("keys").alias("key"))
-    live = keyed.join(keyed.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key"), "key")
-    rows = written(live.select("key", "node", "n"), "shingle-keys")
+    live = keyed.join(keyed.groupBy("key").agg(F.count("*").alias("k")).where("k > 1"), "key")
+    rows = written(live.select("key", "node", "n", "k"), "shingle-keys")
     links, comps = None, None
     for _ in range(ROUNDS):
         now = rows.withColumn("comp", F.col("node")) if comps is None else rows.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -296,7 +316,7 @@ def similar_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         links = found if links is None else links.union(found)
         comps = settled(components(links).withColumnRenamed("root", "comp"))
     now = rows.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    links = links.union(settled(_remaining(now, comps, reps)))
+    links = links.union(settled(_remaining(now, reps)))
     comps = components(links).withColumnRenamed("root", "comp")
     slim = index.select("doc_id", F.col("n").alias("n_shingles"), "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = slim.where("n_shingles > 0").groupBy("comp").agg(F.min("doc_id").alias("least"), F.count("*").alias("c")).where("c > 1").select("comp", "least")
