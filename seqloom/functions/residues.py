@@ -44,10 +44,15 @@ def residue_hex(seq: Column) -> Column:
 
 def kmers(hex_codes: Column) -> Column:
     """The 32-bit words of eight codes at every place; one shorter word if there are fewer codes, none if there are none."""
-    n = F.length(hex_codes)
-    places = F.sequence(F.least(F.lit(WORD), n), n)
-    word = lambda j: F.conv(F.substring(hex_codes, F.greatest(j - WORD + 1, F.lit(1)), F.least(j, F.lit(WORD))), 16, 10).cast("long")
-    return F.when(n == 0, F.array().cast("array<bigint>")).otherwise(F.transform(places, word))
+
+    def of(h: Column) -> Column:
+        n = F.length(h)
+        word = lambda j: F.conv(F.substring(h, F.greatest(j - WORD + 1, F.lit(1)), F.least(j, F.lit(WORD))), 16, 10).cast("long")
+        places = F.sequence(F.least(F.lit(WORD), n), n)
+        return F.when(n == 0, F.array().cast("array<bigint>")).otherwise(F.transform(places, word))
+
+    # the codes are bound to a lambda's variable, or they would be computed again at every place
+    return F.element_at(F.transform(F.array(hex_codes), of), 1)
 
 
 def seed(band: int) -> int:

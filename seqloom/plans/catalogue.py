@@ -311,10 +311,10 @@ cand AS (SELECT band, idx AS tar, read_len AS tar_len, coalesce(lag(idx) OVER w,
 _GRAPH = """e0 AS (SELECT (l_partkey + 1000000)::bigint AS u, l_suppkey::bigint AS v, l_quantity AS w FROM lineitem),
 canon AS (SELECT least(u, v) AS u, greatest(u, v) AS v, w FROM e0 WHERE w > 0),
 e AS (SELECT u, v, sum(w) AS w FROM canon GROUP BY u, v),
-both AS (SELECT u AS node, v AS other, w FROM e UNION ALL SELECT v, u, w FROM e),
-deg AS (SELECT node, sum(w) AS degree FROM both GROUP BY node),
+ways AS (SELECT u AS node, v AS other, w FROM e UNION ALL SELECT v, u, w FROM e),
+deg AS (SELECT node, sum(w) AS degree FROM ways GROUP BY node),
 member AS (SELECT node, node % 10 AS comm FROM deg),
-ties AS (SELECT b.node, m.comm, sum(b.w) AS w, min(b.other) AS near FROM both b JOIN member m ON m.node = b.other WHERE b.node <> b.other GROUP BY ALL),
+ties AS (SELECT b.node, m.comm, sum(b.w) AS w, min(b.other) AS near FROM ways b JOIN member m ON m.node = b.other WHERE b.node <> b.other GROUP BY ALL),
 mass AS (SELECT comm, sum(degree) AS mass FROM deg JOIN member USING (node) GROUP BY comm),
 tot AS (SELECT sum(degree) AS total FROM deg),
 super AS (SELECT least(a.comm, b.comm) AS u, greatest(a.comm, b.comm) AS v, sum(w) AS w FROM e JOIN member a ON a.node = e.u JOIN member b ON b.node = e.v GROUP BY ALL)"""
@@ -322,7 +322,7 @@ super AS (SELECT least(a.comm, b.comm) AS u, greatest(a.comm, b.comm) AS v, sum(
 ORACLES = {
     "seq_lengths": f"WITH {_RAW} SELECT pos, name_len, read_len FROM raw",
     "length_filter": f"WITH {_RAW} SELECT pos, read_len FROM raw WHERE read_len < 65535",
-    "seq_stats": f"WITH {_RAW} SELECT count(*) AS total, count_if(read_len < 65535) AS valid, max(read_len) FILTER (read_len < 65535) AS longest, min(read_len) FILTER (read_len < 65535) AS shortest FROM raw",
+    "seq_stats": f"WITH {_RAW} SELECT count(*) AS total, count_if(read_len < 65535)::bigint AS valid, max(read_len) FILTER (read_len < 65535) AS longest, min(read_len) FILTER (read_len < 65535) AS shortest FROM raw",
     "length_rank": f"WITH {_SEQS} SELECT idx, pos, read_len FROM seqs",
     "encode_residues": f"""SELECT doc_id AS pos, translate(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(coalesce(text, ''), chr(10), ''),
   '[\\x{{10000}}-\\x{{10FFFF}}]', '....', 'g'), '[\\x{{800}}-\\x{{FFFF}}]', '...', 'g'), '[\\x{{80}}-\\x{{7FF}}]', '..', 'g'), '[^A-Za-z.]', '.', 'g'), '{R._FROM}', '{R._TO}') AS codes FROM documents""",
