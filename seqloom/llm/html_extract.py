@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, release
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>"
@@ -127,7 +127,8 @@ def _blocks(page: str) -> list[tuple[tuple, str, int]]:
                 name = f"{tag}.{'.'.join(said.split())}"
                 if tag not in _NEVER_BY_CLASS and not dropped:
                     plain = re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", said)
-                    dropped = not _DROP_WORDS.isdisjoint(re.split(r"[^a-z]+", plain.lower()))
+                    found = _DROP_WORDS.intersection(re.split(r"[^a-z]+", plain.lower()))
+                    dropped = bool(found - {"header"} if in_article else found)
             style = a.get("style", "").replace(" ", "").lower()
             dropped = dropped or a.get("role", "").lower() in _DROP_ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style
         elif tag == "header":
@@ -190,7 +191,9 @@ def extract(df: DataFrame, html_col: str = "html", out_col: str = "text") -> Dat
 
     @F.arrow_udf("string")
     def run(pages: pa.Array) -> pa.Array:
-        return pa.array([main_text(p) for p in pages.to_pylist()], pa.string())
+        out = pa.array([main_text(p) for p in pages.to_pylist()], pa.string())
+        release()
+        return out
 
     return df.withColumn(out_col, run(F.col(html_col).cast("string")))
 
