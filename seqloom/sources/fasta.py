@@ -49,7 +49,7 @@ def read_fasta(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
     place = F.col("split") * F.lit(1 << 20) + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
     text = F.regexp_replace("value", r"\n\z", "")
     whole = F.when(F.col("at") == F.col("first"), text).otherwise(F.concat(F.lit(">"), text))
-    name = F.substring_index(whole, "\n", 1)
+    name = F.substring_index(F.col("whole"), "\n", 1)
     rest = F.expr("substring(whole, length(name) + 1)")
     out = rows.join(F.broadcast(first), F.lit(True)).select(place.alias("pos"), whole.alias("whole")).withColumn("name", name)
     return out.where("whole <> ''").select("pos", "name", F.replace(rest, F.lit("\n"), F.lit("")).alias("seq")).withColumns(
