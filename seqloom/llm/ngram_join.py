@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import LOWER, UPPER, bound_batches, settled, written
+from .common import LOWER, UPPER, bound_batches, release, settled, written
 
 SHINGLE = 5
 #: Jaccard similarity from which documents link, in hundredths.
@@ -25,7 +25,7 @@ LEAST = 80
 FREQUENT = 32
 #: Extension of a prefix, and number of groups of frequent tokens, per token of a set.
 EXTENSION = 0.04
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 PART_TOKENS = 1 << 20
 #: Members of a block that probes are held against, and documents from which a component has groups of its own.
 BLOCK, LARGE = 128, 32
@@ -108,6 +108,7 @@ def _count_tokens(bits: int):
         cut = np.flatnonzero(np.diff(part)) + 1
         spans = [(a, b) for a, b in zip([0, *cut], [*cut, len(part)], strict=True) if b > a]
         batch = table["batch"][0].as_py()
+        release()
         return pa.Table.from_arrays(
             [
                 pa.array([int(part[a]) for a, _ in spans], pa.int32()), pa.array([batch] * len(spans), pa.int32()),
@@ -131,6 +132,7 @@ def _levels(table: pa.Table) -> pa.Table:
     level = np.where(docs < 192, docs, 192 + np.log2(np.maximum(docs, 1))).astype(np.uint8)
     out = np.empty(len(all_keys), np.uint8)
     out[order] = np.repeat(level, np.diff(np.concatenate([starts, [len(sorted_keys)]])))
+    release()
     pieces = np.split(out, np.cumsum([len(k) for k in keys])[:-1])
     return pa.Table.from_arrays(
         [table["batch"].combine_chunks(), table["part"].combine_chunks(), pa.array([p.tobytes() for p in pieces], pa.binary())], ["batch", "part", "levels"]
@@ -177,6 +179,7 @@ def _index(left: pa.Table, right: pa.Table) -> pa.Table:
         own = keys_of(sets[k], level[np.searchsorted(tokens, sets[k])])
         if len(own):
             keys[k], held[k] = own, sets[k].tobytes()
+    release()
     return pa.Table.from_arrays(
         [
             left["doc_id"].combine_chunks(), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64()),
@@ -237,6 +240,7 @@ def _block_links(left: pa.Table, right: pa.Table) -> pa.Table:
                     seen.add(comps[k])
                     out_a.append(node)
                     out_b.append(nodes[k])
+        release()
     return pa.Table.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
 
