@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, release
 from .langid import fold
 
 #: Labelled rows that lexicon and weights are learned from, at most: those with the smallest hash of their id.
@@ -22,8 +22,8 @@ PREFIXES = range(3, 9)
 #: Least length of a word, and of a stem, that may be met with one edit.
 FUZZY_WORD, FUZZY_STEM = 5, 8
 WINDOW = 8
-STATES = 200_000
-KNOWN_CLEAN = 500_000
+STATES = 50_000
+KNOWN_CLEAN = 100_000
 
 _EDGE = "\"'`.,;:!?()[]{}<>|*#$%&~_-+=/\\«»„“”‚‘’…¡¿–—"
 _QUOTES = set("\"“”„«»‹›")
@@ -31,7 +31,10 @@ _QUOTES = set("\"“”„«»‹›")
 _REPORT = set("said says wrote writes quote quoted quotes term word phrase called reported according cited sagte schrieb zitat wort begriff dit écrit mot terme cité dijo escribió cita palabra término".split())
 _ADDRESS = set("you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta vous votre tú ti usted ustedes vosotros".split())
 
-EXACT, FUZZY = 1, 2
+EXACT, FUZZY, WEAK = 1, 2, 3
+FEATURES = 4
+#: What a term met with an edit counts, and how many words that are near a term but stand in clean documents are kept.
+NEAR, NEIGHBOURS = 0.8, 5_000
 
 
 class FuzzyLexicon:
@@ -40,9 +43,10 @@ class FuzzyLexicon:
     A state of the product is a set of (trie node, edits, pending letter); the pending letter is the second half
     of a swap. States are made when first met and kept as a deterministic automaton, so a word costs one table
     look-up per letter and most words end in the dead state after a few. A stem accepts whatever follows it.
+    With `fuzzy`, only those entries are met with an edit.
     """
 
-    def __init__(self, words: list[str], stems: list[str]):
+    def __init__(self, words: list[str], stems: list[str], fuzzy: list[str] | None = None):
         self.child: list[dict[str, int]] = [{}]
         self.word_len: dict[int, int] = {}
         self.stem_len: dict[int, int] = {}
@@ -56,7 +60,7 @@ class FuzzyLexicon:
                         self.child.append({})
                         self.child[node][c] = nxt
                     node = nxt
-                ends[node] = len(entry)
+                ends[node] = len(entry) if fuzzy is None or entry in fuzzy else 0
         self._reset()
 
     def _reset(self) -> None:
@@ -134,18 +138,27 @@ class Scorer:
 
     def __init__(self, model: dict):
         self.model = model
-        self.lexicon = FuzzyLexicon(model["words"], model["stems"])
+        self.lexicon = FuzzyLexicon(model["words"], model["stems"], model["fuzzy"])
+        self.weak = {*model["weak_words"], *(x + "\0" for x in model["weak_stems"])}
+        self.neighbours = set(model["neighbours"])
         self.clean: set[str] = set()
         self.hits: dict[str, int] = {}
 
+    def kind(self, word: str) -> int:
+        """0, EXACT, FUZZY, or WEAK for a term that toxic documents only share with many clean ones."""
+        got = self.lexicon.match(word)
+        if got != EXACT and self.weak and (word in self.weak or any(word[:n] + "\0" in self.weak for n in PREFIXES)):
+            return WEAK
+        return 0 if got == FUZZY and word in self.neighbours else got
+
     def features(self, text: str | None) -> list[float]:
-        """Logarithms of the abuse found exactly, found with an edit, and quoted, and the share of hits among words.
+        """Logarithms of the abuse found, quoted, and by weak terms, and the share of hits among words.
 
-        A hit counts 1. Inside quotation marks, or with a reporting word near it, it counts as quoted unless the
+        A hit counts 1, with an edit NEAR. Inside quotation marks, or with a reporting word near it, it counts as quoted unless the
         window also addresses someone; a second hit, an exclamation or an address in the window raises it.
         """
         if not text:
-            return [0.0, 0.0, 0.0, 0.0]
+            return [0.0] * FEATURES
         tokens = text.lower().split()
         new = set(tokens)
         new -= self.clean
@@ -154,7 +167,7 @@ class Scorer:
             kind = self.hits.get(t)
             if kind is None:
                 bare = t.strip(_EDGE)
-                kind = self.lexicon.match(bare) if bare else 0
+                kind = self.kind(bare) if bare else 0
                 if kind:
                     self.hits[t] = kind
                 else:
@@ -166,7 +179,7 @@ class Scorer:
         if len(self.hits) > KNOWN_CLEAN:
             self.hits.clear()
         if not found:
-            return [0.0, 0.0, 0.0, 0.0]
+            return [0.0] * FEATURES
         at = [k for k, t in enumerate(tokens) if t in found]
         places, opened, inside = set(at), False, set()
         for k, t in enumerate(tokens if not _QUOTES.isdisjoint(text) else ()):
@@ -182,8 +195,9 @@ class Scorer:
             quoted = (k in inside or not _REPORT.isdisjoint(near)) and not addressed
             others = any(max(0, k - WINDOW) <= j <= k + WINDOW and j != k for j in (k - 1, k + 1) if j in places)
             weight = 1.0 + 0.25 * addressed + 0.25 * others + 0.1 * ("!" in tokens[k])
-            sums[2 if quoted else 0 if found[tokens[k]] == EXACT else 1] += weight
-        return [math.log1p(sums[0]), math.log1p(sums[1]), math.log1p(sums[2]), min(1.0, 10 * len(at) / len(tokens))]
+            kind = found[tokens[k]]
+            sums[1 if quoted else 2 if kind == WEAK else 0] += weight * (NEAR if kind == FUZZY else 1.0)
+        return [*map(math.log1p, sums), min(1.0, 10 * len(at) / len(tokens))]
 
     def score(self, text: str | None) -> float:
         z = self.model["bias"] + sum(w * x for w, x in zip(self.model["weights"], self.features(text), strict=True))
@@ -198,36 +212,41 @@ def _terms(text: str) -> set[str]:
     return out
 
 
-def choose_lexicon(counts: list[tuple[str, int, int]], n_toxic: int, n_clean: int) -> tuple[list[str], list[str]]:
-    """Words and stems that mark toxic documents, from (term, toxic documents, clean documents).
-
-    A term is taken when it is in at least 3 toxic documents, and 2 % of them, and its smoothed odds are 20 times
-    those of the clean ones. Of a stem and its longer forms with nearly the same support, the longest stays; a word is
-    taken as such when no stem above it is much more frequent.
-    """
-    good = {}
-    for term, pos, neg in counts:
-        odds = ((pos + 0.5) / (n_toxic + 1)) / ((neg + 0.5) / (n_clean + 1))
-        if pos >= max(3, 0.02 * n_toxic) and odds >= 20 and pos >= 9 * neg:
-            good[term] = pos
+def _narrow(good: dict[str, int]) -> tuple[list[str], list[str]]:
+    """Words and stems among good terms. Of a stem and its longer forms with nearly the same support, the longest stays; a word that a stem covers goes."""
     stems = {t[2:]: n for t, n in good.items() if t[0] == "S"}
     words = {t[2:]: n for t, n in good.items() if t[0] == "W"}
     longer: dict[str, int] = {}
     for s, n in [*stems.items(), *words.items()]:
         for k in range(PREFIXES.start, len(s)):
             longer[s[:k]] = max(longer.get(s[:k], 0), n)
-    # a stem whose best longer form has nearly all of its support gives way to that form
-    pick = [s for s, n in stems.items() if longer.get(s, 0) < 0.9 * n]
-    kept_stems: list[str] = []
-    for s in sorted(pick, key=lambda s: (len(s), s)):
-        if not any(s.startswith(k) for k in kept_stems):
-            kept_stems.append(s)
-    kept_words = [w for w in words if not any(w.startswith(s) for s in kept_stems)]
+    kept: list[str] = []
+    for s in sorted((s for s, n in stems.items() if longer.get(s, 0) < 0.9 * n), key=lambda s: (len(s), s)):
+        if not any(s.startswith(k) for k in kept):
+            kept.append(s)
     best = lambda xs, of: sorted(xs, key=lambda x: (-of[x], x))[:LEXICON]
-    return best(kept_words, words), best(kept_stems, stems)
+    return best([w for w in words if not any(w.startswith(s) for s in kept)], words), best(kept, stems)
+
+
+def choose_lexicon(counts: list[tuple[str, int, int]], n_toxic: int, n_clean: int) -> dict[str, list[str]]:
+    """Terms that mark toxic documents, from (term, toxic documents, clean documents).
+
+    A term needs 3 toxic documents and 2 % of them. It is strong if at least four in five of its documents are toxic
+    and its smoothed odds are 20 times those of clean documents, and weak with one in two and 8 times. Only strong
+    terms of 5 % of the toxic documents may be met with an edit, as rarer ones are near too many other words.
+    """
+    strong, weak = {}, {}
+    for term, pos, neg in counts:
+        odds = ((pos + 0.5) / (n_toxic + 1)) / ((neg + 0.5) / (n_clean + 1))
+        if pos >= max(3, 0.02 * n_toxic) and odds >= 8 and pos >= neg:
+            (strong if odds >= 20 and pos >= 4 * neg else weak)[term] = pos
+    words, stems = _narrow(strong)
+    weak_words, weak_stems = _narrow(weak)
+    common = {t[2:] for t, n in strong.items() if n >= 0.05 * n_toxic}
+    return {"words": words, "stems": stems, "fuzzy": [x for x in words + stems if x in common], "weak_words": weak_words, "weak_stems": weak_stems}
 
 
-def fit_weights(x: np.ndarray, y: np.ndarray, prior: tuple = (2.0, 1.6, 0.4, 1.0), rounds: int = 30) -> tuple[float, list[float]]:
+def fit_weights(x: np.ndarray, y: np.ndarray, prior: tuple = (2.0, 0.4, 1.0, 1.0), rounds: int = 30) -> tuple[float, list[float]]:
     """Logistic regression by Newton steps, drawn towards `prior`, so that a kind of hit no example shows keeps a sensible weight."""
     a = np.c_[np.ones(len(x)), x]
     w0 = np.r_[0.0, prior]
@@ -278,26 +297,39 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = LABELLED_ROWS) -> dict
 
     rows = (
         sample.mapInArrow(count, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-        .where((F.col("term") == "") | (F.col("pos") >= 3) & (F.col("pos") >= 9 * F.col("neg"))).collect()
+        .where((F.col("term") == "") | (F.col("pos") >= 3) & (F.col("pos") >= F.col("neg"))).collect()
     )
     n_neg, n_pos = next(((r["neg"], r["pos"]) for r in rows if r["term"] == ""), (0, 0))
-    words, stems = choose_lexicon([(r["term"], r["pos"], r["neg"]) for r in rows if r["term"]], n_pos, n_neg)
-    model = {"words": words, "stems": stems, "bias": -3.0, "weights": [2.0, 1.6, 0.4, 1.0]}
+    lexicon = choose_lexicon([(r["term"], r["pos"], r["neg"]) for r in rows if r["term"]], n_pos, n_neg)
+    lexicon["neighbours"] = []
+    model = {**lexicon, "bias": -3.0, "weights": [2.0, 0.4, 1.0, 1.0]}
     if not n_pos or not n_neg:
         return model
 
+    def near(batches):
+        scorer, found = Scorer(model), set()
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                found.update(w for t in set(text.lower().split()) if (w := t.strip(_EDGE)) and scorer.kind(w) == FUZZY)
+        yield pa.RecordBatch.from_pydict({"word": pa.array(sorted(found), pa.string())})
+
+    # ordinary words that happen to be one edit from a term: those that clean documents have
+    rows = sample.where("toxic = 0").mapInArrow(near, "word string").groupBy("word").count().orderBy(F.desc("count"), "word").limit(NEIGHBOURS).collect()
+    lexicon["neighbours"] = model["neighbours"] = [r["word"] for r in rows]
+
     def featurise(batches):
         scorer = Scorer(model)
         for batch in batches:
             got = [scorer.features(t) for t in batch.column("text").to_pylist()]
-            cols = [pa.array([g[k] for g in got], pa.float64()) for k in range(4)]
-            yield pa.RecordBatch.from_arrays([*cols, batch.column("toxic").cast(pa.int32())], ["a", "b", "c", "d", "y"])
+            cols = [pa.array([g[k] for g in got], pa.float64()) for k in range(FEATURES)]
+            yield pa.RecordBatch.from_arrays([*cols, batch.column("toxic").cast(pa.int32())], [*names, "y"])
 
-    grid = sample.mapInArrow(featurise, "a double, b double, c double, d double, y int").groupBy("a", "b", "c", "d", "y").count().orderBy("a", "b", "c", "d", "y").collect()
-    x = np.repeat(np.array([[r["a"], r["b"], r["c"], r["d"]] for r in grid]), [r["count"] for r in grid], axis=0)
-    y = np.repeat(np.array([float(r["y"] > 0) for r in grid]), [r["count"] for r in grid])
-    bias, weights = fit_weights(x, y)
-    return {"words": words, "stems": stems, "bias": bias, "weights": weights}
+    names = [f"x{k}" for k in range(FEATURES)]
+    seen = sample.mapInArrow(featurise, ", ".join(f"{n} double" for n in names) + ", y int").groupBy(*names, "y").count().orderBy(*names, "y").collect()
+    times = [r["count"] for r in seen]
+    x = np.repeat(np.array([[r[n] for n in names] for r in seen]), times, axis=0)
+    bias, weights = fit_weights(x, np.repeat(np.array([float(r["y"] > 0) for r in seen]), times))
+    return {**lexicon, "bias": bias, "weights": weights}
 
 
 def score(model: dict, spark, text: Column) -> Column:
@@ -310,7 +342,9 @@ def score(model: dict, spark, text: Column) -> Column:
         own = shared.value
         if "scorer" not in own:
             own["scorer"] = Scorer(own)
-        return pa.array([own["scorer"].score(t) for t in texts.to_pylist()], pa.float64())
+        out = pa.array([own["scorer"].score(t) for t in texts.to_pylist()], pa.float64())
+        release()
+        return out
 
     return run(text.cast("string"))
 
