@@ -6,6 +6,7 @@ import base64
 import hashlib
 import json
 import os
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -14,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, release
 
 #: Splits that are remembered with their ids; a memory of results, cleared when full.
-CACHE_SPLITS = 400_000
+CACHE_SPLITS = 100_000
 CACHE_CHARS = 48
 
 #: The splitting pattern of the public vocabulary, with \s as the Unicode property White_Space.
@@ -149,11 +150,15 @@ def encode(df: DataFrame, spec: dict, text_col: str = "text", ids_col: str = "in
     def run(texts: pa.Array) -> pa.Array:
         codec = _codec(spec)
         texts = texts.to_pylist()
-        ids = [codec.encode(t) for t in texts]
-        cols = {"ids": pa.array(ids, pa.list_(pa.int32()))}
+        ids = [array("i", codec.encode(t)) for t in texts]
+        ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+        flat = np.concatenate([np.frombuffer(i, np.int32) for i in ids]) if ends[-1] else np.zeros(0, np.int32)
+        cols = {"ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))}
         if spans:
             both = [codec.spans(t or "", i) for t, i in zip(texts, ids, strict=True)]
             cols |= {k: pa.array([b[n] for b in both], pa.list_(pa.int32())) for n, k in enumerate(("starts", "ends"))}
+        del ids
+        release()
         return pa.StructArray.from_arrays([*cols.values()], [*cols])
 
     out = {ids_col: "ids", **({"starts": "starts", "ends": "ends"} if spans else {})}
@@ -187,6 +192,7 @@ def round_trip(df: DataFrame, spec: dict, id_col: str = "doc_id", text_col: str
                 n.append(len(ids))
                 ids_sha.append(hashlib.sha256(" ".join(map(codec.digits.__getitem__, ids)).encode()).hexdigest())
                 text_sha.append(hashlib.sha256(codec.decode_bytes(ids)).hexdigest())
+            release()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], schema=schema)
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

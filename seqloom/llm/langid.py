@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, release
 
 UND = "und"
 BITS = 15
@@ -150,6 +150,7 @@ def identify(df: DataFrame, model: dict | None, text_col: str = "text") -> DataF
     @F.arrow_udf("struct<lang_pred string, score double, accepted boolean>")
     def run(texts: pa.Array) -> pa.Array:
         got = [predict(shared.value, t) for t in texts.to_pylist()]
+        release()
         kinds = (pa.string(), pa.float64(), pa.bool_())
         return pa.StructArray.from_arrays([pa.array([g[k] for g in got], t) for k, t in enumerate(kinds)], ["lang_pred", "score", "accepted"])
 
