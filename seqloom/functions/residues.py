@@ -73,6 +73,29 @@ def hash_kmer(word: Column, seed_: Column) -> Column:
     return s.bitwiseXOR(right(s, 14))
 
 
+def lcs_short(a: Column, b: Column) -> Column:
+    """The LCS of two sequences given as residue_hex, the first of 62 residues at most, within Catalyst: a row of the table is the bits of a long."""
+
+    def of(x: Column, y: Column) -> Column:
+        n = F.length(x)
+        bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k)
+        full = bit(n) - 1
+        digits = F.filter(F.split(x, ""), lambda c: c != "")
+        mask = lambda c: F.aggregate(
+            F.transform(digits, lambda d, k: F.when((d == c) & (d != "0"), bit(k)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, v: s + v
+        )
+
+        def step(row: Column, m: Column) -> Column:
+            hit = row.bitwiseAND(m)
+            return (row + hit).bitwiseOR(row - hit).bitwiseAND(full)
+
+        masks = F.transform(F.filter(F.split(y, ""), lambda c: c != ""), mask)
+        return n - F.bit_count(F.aggregate(masks, full, step))
+
+    pair = F.array(F.struct(a.alias("x"), b.alias("y")))
+    return F.element_at(F.transform(pair, lambda p: of(p["x"], p["y"])), 1)
+
+
 def codes_of(seq: str | bytes) -> np.ndarray:
     return BYTE_CODES[np.frombuffer(seq.encode() if isinstance(seq, str) else seq, np.uint8)]
 

@@ -35,3 +35,9 @@ def compare_pairs(cand: DataFrame, parent: DataFrame) -> DataFrame:
     """How many alignments rounds over the bands would make: a target's candidates up to the band of its first hit."""
     first = parent.select("tar", F.col("band").alias("hit_band"))
     return cand.where("rep <> tar").join(first, "tar", "left").where(F.col("hit_band").isNull() | (F.col("band") <= F.col("hit_band"))).agg(F.count("*").alias("compare_pairs"))
+
+
+def pending(cand: DataFrame, parent: DataFrame, band: int) -> DataFrame:
+    """The candidates of a band whose targets have no hit in an earlier one: what a round over that band has left to align."""
+    done = parent.where(F.col("band") < band).select("tar")
+    return cand.where((F.col("band") == band) & (F.col("rep") != F.col("tar"))).join(done, "tar", "left_anti")

@@ -40,16 +40,15 @@ def best_moves(edges: DataFrame, member: DataFrame, gamma: float) -> DataFrame:
     deg = degrees(edges)
     state = member.join(deg, "node")
     mass = state.groupBy("comm").agg(F.sum("degree").alias("mass"))
-    total = deg.agg(F.sum("degree").alias("total"))
+    total = deg.agg(F.sum("degree")).scalar()
     ties = weight_to_communities(edges, member)
     own = ties.select("node", F.col("comm").alias("old_comm"), F.col("w").alias("w_old"))
     node = state.withColumnRenamed("comm", "old_comm").join(mass.select(F.col("comm").alias("old_comm"), F.col("mass").alias("mass_old")), "old_comm").join(own, ["node", "old_comm"], "left")
     g = F.lit(float(gamma))
-    gain = (F.col("w") - g * F.col("degree") * (F.col("mass") + F.col("degree")) / F.col("total")) - (
-        F.coalesce("w_old", F.lit(0.0)) - g * F.col("degree") * F.col("mass_old") / F.col("total")
+    gain = (F.col("w") - g * F.col("degree") * (F.col("mass") + F.col("degree")) / total) - (
+        F.coalesce("w_old", F.lit(0.0)) - g * F.col("degree") * F.col("mass_old") / total
     )
-    # one row, so it is sent to all tasks
-    tried = ties.join(node, "node").where("comm <> old_comm").join(mass, "comm").join(F.broadcast(total), F.lit(True)).withColumn("gain", gain).where("gain > 0")
+    tried = ties.join(node, "node").where("comm <> old_comm").join(mass, "comm").withColumn("gain", gain).where("gain > 0")
     rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("gain"), "near"))
     return tried.withColumn("rank", rank).where("rank = 1").select("node", "old_comm", F.col("comm").alias("new_comm"), "gain")
 
@@ -63,7 +62,7 @@ def collapse(edges: DataFrame, member: DataFrame) -> DataFrame:
 def modularity(edges: DataFrame, member: DataFrame, gamma: float) -> DataFrame:
     """One row: the modularity of a partition at a resolution."""
     deg = degrees(edges).join(member, "node").groupBy("comm").agg(F.sum("degree").alias("mass"))
-    inside = collapse(edges, member).where("u = v").agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("inside"))
+    inside = collapse(edges, member).where("u = v").agg(F.coalesce(F.sum("w"), F.lit(0.0))).scalar()
     sums = deg.agg(F.sum("mass").alias("total"), F.sum(F.col("mass") * F.col("mass")).alias("squares"))
-    q = 2 * F.col("inside") / F.col("total") - F.lit(float(gamma)) * F.col("squares") / (F.col("total") * F.col("total"))
-    return sums.join(F.broadcast(inside), F.lit(True)).select(F.when(F.col("total") > 0, q).otherwise(F.lit(0.0)).alias("modularity"))
+    q = 2 * inside / F.col("total") - F.lit(float(gamma)) * F.col("squares") / (F.col("total") * F.col("total"))
+    return sums.select(F.when(F.col("total") > 0, q).otherwise(F.lit(0.0)).alias("modularity"))

@@ -6,13 +6,16 @@ Queries that align, and those that follow from alignments, have no SQL: the test
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import residues as R
 from ..operators import align, candidates, community, fast, graph, report
-from ..operators.base import settled
+from ..operators.base import checkpoint_dir, settled
 from ..operators.components import components
+from ..sources import fasta, store
 
 GAMMA = 0.5
 
@@ -259,6 +262,41 @@ def connected_components(spark, sf_dir):
     return components(cand.select(F.col("rep").alias("a"), F.col("tar").alias("b"))).select("node", "root")
 
 
+def _scratch(spark, name: str) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def fasta_round_trip(spark, sf_dir):
+    """Documents written as FASTA files and scanned again."""
+    path = _scratch(spark, "fasta")
+    fasta.write_fasta(_raw(spark, sf_dir), path)
+    return fasta.read_fasta(spark, path).select("name", F.md5(F.col("seq").cast("binary")).alias("seq_md5"), "name_len", "read_len")
+
+
+def packed_store(spark, sf_dir):
+    """The packed data set written and read again by its first eight bands; names come from the stored sequences."""
+    path = _scratch(spark, "store")
+    seqs = _ranked(spark, sf_dir)
+    store.write_store(path, seqs, _cand(seqs, 16), 16)
+    store.check_store(spark, path)
+    stored, cand = store.read_store(spark, path, 8)
+    name = stored.select(F.col("idx").alias("tar"), "name")
+    return cand.where("rep <> tar").join(name, "tar").select("band", "tar", "rep", "name")
+
+
+def lcs_of_names(spark, sf_dir):
+    """The LCS of the names of nations in one region, without leaving Catalyst."""
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_regionkey", R.residue_hex(F.col("n_name")).alias("h"))
+    a, b = n.select(F.col("n_nationkey").alias("a"), "n_regionkey", F.col("h").alias("ha")), n.select(F.col("n_nationkey").alias("b"), "n_regionkey", F.col("h").alias("hb"))
+    return a.join(b, "n_regionkey").where("a < b").select("a", "b", R.lcs_short(F.col("ha"), F.col("hb")).cast("int").alias("lcs"))
+
+
+def fast_pending(spark, sf_dir):
+    seqs = _ranked(spark, sf_dir)
+    cand = settled(_cand(seqs))
+    return fast.pending(cand, fast.parents(cand, _hits(seqs, cand, 95)), 8).select("band", "tar", "rep")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -267,7 +305,7 @@ QUERIES = {
         band_pruned_candidates, running_offsets, similarity_pairs, edges_95, edges_80, fast_parent, fast_roots, fast_cluster_sizes,
         fast_compare_pairs, fast_cluster_table, fast_member_order, fast_report_lines, fast_modularity, leiden_clusters, leiden_report,
         edge_canonicalise, multi_edge_merge, degree, total_degree, neighbour_comm_weight, best_move_step, collapse_step, modularity,
-        connected_components,
+        connected_components, fasta_round_trip, packed_store, lcs_of_names, fast_pending,
     )
 }
 
@@ -362,4 +400,11 @@ SELECT node, old_comm, new_comm, round(gain, 6) AS gain FROM r WHERE k = 1""",
 l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
 r AS (SELECT DISTINCT a AS node, a AS x FROM l UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.x)
 SELECT node, min(x) AS root FROM r GROUP BY node""",
+    "fasta_round_trip": f"WITH {_RAW} SELECT '>' || pos AS name, md5(seq) AS seq_md5, name_len, read_len FROM raw",
+    "packed_store": f"WITH {_signed(8)} SELECT band, tar, rep, '>' || seqs.pos AS name FROM cand JOIN seqs ON seqs.idx = cand.tar WHERE rep <> tar",
+    "lcs_of_names": f"""WITH n AS (SELECT n_nationkey, n_regionkey, translate(regexp_replace(n_name, '[^A-Za-z.]', '.', 'g'), '{R._FROM}', '{R._TO}') AS h FROM nation),
+p AS (SELECT x.n_nationkey AS a, y.n_nationkey AS b, x.h AS ha, y.h AS hb FROM n x JOIN n y ON x.n_regionkey = y.n_regionkey AND x.n_nationkey < y.n_nationkey)
+SELECT a, b, (length(ha) - bit_count(list_reduce(list_transform(string_split(hb, ''),
+  lambda c: list_sum(list_transform(range(length(ha)), lambda k: CASE WHEN substr(ha, k + 1, 1) = c AND c <> '0' THEN 1::bigint << k ELSE 0 END))::bigint),
+  lambda v, m: ((v + (v & m)) | (v - (v & m))) & ((1::bigint << length(ha)) - 1), (1::bigint << length(ha)) - 1)))::int AS lcs FROM p""",
 }

@@ -57,6 +57,14 @@ def test_lcs_is_that_of_the_table():
         assert R.lcs(a, b) == table_lcs(a.tolist(), b.tolist())
 
 
+def test_short_lcs_in_catalyst(spark):
+    rng = random.Random(4)
+    pairs = [(k, "".join(rng.choice("ACGTX") for _ in range(rng.randrange(1, 62))), "".join(rng.choice("ACGTX") for _ in range(rng.randrange(1, 62)))) for k in range(60)]
+    df = spark.createDataFrame(pairs, "k int, a string, b string")
+    for r in df.select("k", R.lcs_short(R.residue_hex(F.col("a")), R.residue_hex(F.col("b"))).alias("n")).collect():
+        assert r["n"] == R.lcs(R.codes_of(pairs[r["k"]][1]), R.codes_of(pairs[r["k"]][2]))
+
+
 def test_threshold_is_strict_and_single_precision():
     assert not R.is_hit(95, 100, 95, R.threshold(95))
     assert R.is_hit(53, 100, 53, R.threshold(53))
