@@ -40,7 +40,9 @@ _DROP_WORDS = set(
     "subscription signup login search widget widgets skip skiplink tags byline-links legal copyright".split()
 )
 _DROP_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "menu", "menubar", "form", "note", "status"}
-_NEVER_BY_CLASS = {"html", "body", "main", "article"}
+_DROP_ARTICLES = {"comment", "comments", "reply", "related", "recommended", "ad", "ads", "advert", "sponsored", "promo", "promotion", "widget"}
+_NEVER_BY_CLASS = {"html", "body", "main"}
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、！？؟]")
 _LINK_SHARE = 0.6
 
@@ -128,7 +130,7 @@ def _blocks(page: str) -> list[tuple[tuple, str, int]]:
                 if tag not in _NEVER_BY_CLASS and not dropped:
                     plain = re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", said)
                     found = _DROP_WORDS.intersection(re.split(r"[^a-z]+", plain.lower()))
-                    dropped = bool(found - {"header"} if in_article else found)
+                    dropped = bool(found & _DROP_ARTICLES if tag == "article" else found - {"header"} if in_article else found)
             style = a.get("style", "").replace(" ", "").lower()
             dropped = dropped or a.get("role", "").lower() in _DROP_ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style
         elif tag == "header":
@@ -181,6 +183,8 @@ def main_text(page: str | None) -> str:
         mass[root_of(p)] = mass.get(root_of(p), 0) + totals[p][0]
     marked = [r for r in mass if r and r[-1].partition(".")[0] in ("article", "main")]
     root = max(marked or mass, key=lambda r: mass[r])
+    while not marked and len(root) > 1 and all(p[: len(root)] == root or p[-1].partition(".")[0] in _HEADINGS for p in totals if p[: len(root) - 1] == root[:-1]):
+        root = root[:-1]  # the element around it adds headings only
     kept = [text for p, text, links in blocks if p[: len(root)] == root and (links < _LINK_SHARE * len(text) or root in marked and p[-1] not in ("li", "ul"))]
     return "\n".join(kept)
 

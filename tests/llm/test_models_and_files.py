@@ -171,6 +171,13 @@ def test_html_keeps_the_article(box):
     assert got == "Head & line\nFirst paragraph, with bold text <here> é.\nSecond, unclosed link.\nOne point.\nTwo points."
 
 
+def test_html_of_other_layouts():
+    page = '<body><div id="top" class="menu"><a>A</a></div><div id="content"><h1>Title</h1><div class="entry"><p>Long text, with commas.</p><p>Short.</p></div></div><div class="comments">Nice, I like it!</div></body>'
+    assert html_extract.main_text(page) == "Title\nLong text, with commas.\nShort."
+    assert html_extract.main_text('<article><header><h1>T</h1></header><p>Body.</p></article><article class="related"><p>Other, much longer story here.</p></article>') == "T\nBody."
+    assert html_extract.main_text("<main><article><p>One.</p></article><article><p>Two, longer.</p></article></main>") == "One.\nTwo, longer."
+
+
 def test_html_of_odd_pages(spark):
     pages = [None, "", "plain words", "<p>", "<article><p>cut off &am", "<<>><a", "<p>x</p>" * 3000, "<b>" * 2000 + "deep"]
     df = spark.createDataFrame([(k, "u", p, "old") for k, p in enumerate(pages)], "page_id long, url string, html string, text string")
