@@ -22,7 +22,7 @@ class SequenceEngine:
         stats = report.sequence_stats(seqs)
         if not stats.first()["valid"]:
             raise ValueError("no valid sequence")
-        ranked = settled(candidates.rank_by_length(seqs))
+        ranked = candidates.rank_by_length(seqs)
         store.write_store(path, ranked, candidates.candidates(candidates.long_signatures(candidates.signatures(ranked))), BANDS)
         return stats
 

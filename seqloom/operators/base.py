@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,14 +29,22 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written as Parquet into the shared folder and read back: compressed, and columns can be pruned."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def dense_rank_of_rows(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """df with the place, from 0, of each row in a total order, without a single-task sort.
 
     Rows are range-partitioned and sorted; a row's place is its partition's offset and its place there. The
-    table of offsets has one row per partition.
+    table of offsets has one row per partition. The sorted rows are written once, so the rank is fixed and what reads it
+    later reads only the columns it needs.
     """
     sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = settled(sorted_.withColumns({"__at": F.monotonically_increasing_id()}))
+    placed = written(sorted_.withColumn("__at", F.monotonically_increasing_id()), "ranked")
     part, own = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy(part.alias("__p")).agg(F.count("*").alias("__n")).select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))

@@ -25,7 +25,7 @@ def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return settled(candidates.rank_by_length(_raw(spark, sf_dir)))
+    return candidates.rank_by_length(_raw(spark, sf_dir))
 
 
 def _long(seqs: DataFrame, bands: int = R.BANDS) -> DataFrame:
@@ -141,7 +141,7 @@ def band_pruned_candidates(spark, sf_dir):
 
 def running_offsets(spark, sf_dir):
     """Where each record's text would begin in a file of records in the order of idx: prefix sums by partition, then within."""
-    seqs = settled(candidates.rank_by_length(_raw(spark, sf_dir)).select("idx", (F.col("name_len") + F.col("read_len") + 2).cast("long").alias("bytes")).withColumn("part", F.expr("idx div 4096")))
+    seqs = candidates.rank_by_length(_raw(spark, sf_dir)).select("idx", (F.col("name_len") + F.col("read_len") + 2).cast("long").alias("bytes")).withColumn("part", F.expr("idx div 4096"))
     past = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = seqs.groupBy("part").agg(F.sum("bytes").alias("b")).select("part", F.coalesce(F.sum("b").over(past), F.lit(0)).alias("base"))
     own = Window.partitionBy("part").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
