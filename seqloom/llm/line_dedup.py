@@ -2,33 +2,46 @@
 
 from __future__ import annotations
 
+import re
 from operator import eq
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, SPACES, bound_batches, release, settled, written
+from .common import bound_batches, release, settled, written
 
 #: Words from which a line is looked at, documents from which a template recurs, and leading words that a path through the tree has.
 WORDS, DOCUMENTS, DEPTH = 5, 3, 3
 #: Share of words, place by place, that a line has in common with the first line of its template.
 SIMILAR = 0.75
-FIELD = "<*>"
+FIELD = b"<*>"
 
+_DIGIT = re.compile(rb"[0-9]")
+_FIELD = re.compile(rb"[^ ]*[0-9][^ ]*")
 
-def masked(line: Column) -> Column:
-    """A line with single spaces between its words, and with a mark for each word that has a digit."""
-    plain = F.regexp_replace(F.btrim(line, F.lit(SPACES)), f"[{SPACE_CLASS}]+", " ")
-    return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, "[^ ]*[0-9][^ ]*", FIELD)).otherwise(plain)
 
+def masked(line: bytes) -> bytes | None:
+    """A line with single spaces between its words and a mark for each word that has a digit; None if it is too short.
+
+    bytes.split() splits at the six ASCII spaces, which are those that separate words here.
+    """
+    words = line.split()
+    if len(words) < WORDS:
+        return None
+    plain = b" ".join(words)
+    return _FIELD.sub(FIELD, plain) if _DIGIT.search(plain) else plain
 
-def line_key(line: Column) -> Column:
-    return F.xxhash64(masked(line))
 
+def line_key(line: bytes) -> int:
+    """The signed 64-bit hash of a masked line."""
+    h = xxhash.xxh64_intdigest(line)
+    return h - (1 << 64) if h >> 63 else h
 
-def _words(m: Column) -> Column:
-    return F.length(m) - F.length(F.replace(m, F.lit(" "), F.lit(""))) + 1
+
+def lines_of(text: str | None) -> list[bytes]:
+    return text.encode("utf-8", "replace").split(b"\n") if text is not None else []
 
 
 class Leaf:
@@ -76,25 +89,48 @@ def _parse(batches):
         release()
 
 
+def _distinct(batches):
+    """The masked lines of a batch with the number of its documents that have them."""
+    for batch in batches:
+        docs: dict[bytes, int] = {}
+        for text in batch.column(0).to_pylist():
+            for line in {m for x in lines_of(text) if (m := masked(x)) is not None}:
+                docs[line] = docs.get(line, 0) + 1
+        path = [line_key(b"%d " % (line.count(b" ") + 1) + b" ".join(line.split(b" ", DEPTH)[:DEPTH])) for line in docs]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(path, pa.int64()), pa.array([*map(line_key, docs)], pa.int64()), pa.array([*docs], pa.binary()).cast(pa.string()), pa.array([*docs.values()], pa.int64())],
+            ["path", "key", "line", "docs"],
+        )
+        release()
+
+
+def _keys(batches):
+    """(doc_id, key) of the lines of each document."""
+    for batch in batches:
+        ids, keys = [], []
+        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            own = {line_key(m) for x in lines_of(text) if (m := masked(x)) is not None}
+            ids += [i] * len(own)
+            keys += own
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64())], ["doc_id", "key"])
+
+
 def recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, key): the lines to drop, by the hash of the masked line.
 
     The tree's path is the number of words and the first DEPTH of them; fields that vary are generalised by the mask and by
-    the places in which a template's lines differ. Lines are made distinct first, with a combine on the map side, so a line
-    that a third of all documents has is one row of its leaf. A template recurs if DOCUMENTS documents have lines of it; all
+    the places in which a template's lines differ. Lines are made distinct first, in each batch and again on the map side, so a
+    line that a third of all documents has is one row of its leaf. A template recurs if DOCUMENTS documents have lines of it; all
     but the one with the smallest id lose them.
     """
     bound_batches(df.sparkSession)
-    lines = df.select(F.col(id_col).cast("long").alias("doc_id"), F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n").alias("l"))
-    each = lines.select("doc_id", F.explode(F.array_distinct(F.transform("l", masked))).alias("line")).where(_words(F.col("line")) >= WORDS)
-    distinct = each.groupBy("line").agg(F.count("*").alias("docs")).select(
-        F.xxhash64(_words(F.col("line")), F.substring_index("line", " ", DEPTH)).alias("path"), F.xxhash64("line").alias("key"), "line", "docs"
-    )
-    parsed = distinct.repartition("path").sortWithinPartitions("path", "line").mapInArrow(_parse, "key long, template long, docs long")
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    distinct = docs.select("text").mapInArrow(_distinct, "path long, key long, line string, docs long").groupBy("path", "key", "line").agg(F.sum("docs").alias("docs"))
+    parsed = distinct.repartition("path").sortWithinPartitions("path", "line").select("path", "key", "line", "docs").mapInArrow(_parse, "key long, template long, docs long")
     parsed = written(parsed, "line-templates")
     often = parsed.groupBy("template").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= DOCUMENTS).select("template")
     some = settled(parsed.join(often, "template").select("key", "template"))
-    held = written(each.select("doc_id", F.xxhash64("line").alias("key")).join(some, "key"), "template-lines")
+    held = written(docs.mapInArrow(_keys, "doc_id long, key long").join(some, "key"), "template-lines")
     spread = held.select("template", "doc_id").distinct().groupBy("template").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first"))
     drop = held.join(spread.where(F.col("docs") >= DOCUMENTS), "template").where(~F.col("doc_id").eqNullSafe(F.col("first")))
     return drop.select("doc_id", "key")
@@ -110,15 +146,25 @@ def drop_recurring(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     kept = [c for c in df.columns if c not in ("n_lines", "n_dropped")]
     per_doc = recurring_lines(df, id_col, text_col).groupBy("doc_id").agg(F.collect_set("key").alias("__drop")).withColumnRenamed("doc_id", "__id")
-    rows = df.select(*kept).join(per_doc, F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left").withColumn("__lines", F.split(text_col, "\n"))
-    stay = F.when(F.col("__drop").isNull(), F.col("__lines")).otherwise(
-        F.filter("__lines", lambda x: (_words(masked(x)) < WORDS) | ~F.array_contains("__drop", line_key(x)))
-    )
-    rows = rows.withColumn("__stay", stay)
-    text = F.when(F.col("__drop").isNull(), F.col(text_col)).otherwise(F.array_join("__stay", "\n"))
-    n = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size("__lines")).cast("long")
-    left = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size("__stay")).cast("long")
-    return rows.select(*[text.alias(c) if c == text_col else F.col(c) for c in kept], n.alias("n_lines"), (n - left).alias("n_dropped"))
+    rows = df.select(*kept).join(per_doc, F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left")
+
+    @F.arrow_udf("struct<text string, n long, gone long>")
+    def clean(texts: pa.Array, drops: pa.Array) -> pa.Array:
+        out = []
+        for text, drop in zip(texts.to_pylist(), drops.to_pylist(), strict=True):
+            lines = lines_of(text)
+            if not drop or text is None:
+                out.append((text, len(lines), 0))
+                continue
+            drop = set(drop)
+            stay = [x for x in lines if (m := masked(x)) is None or line_key(m) not in drop]
+            out.append((b"\n".join(stay).decode(), len(lines), len(lines) - len(stay)))
+        release()
+        kinds = (pa.string(), pa.int64(), pa.int64())
+        return pa.StructArray.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["text", "n", "gone"])
+
+    done = rows.withColumn("__c", clean(F.col(text_col).cast("string"), F.col("__drop")))
+    return done.select(*[F.col("__c.text").alias(c) if c == text_col else F.col(c) for c in kept], F.col("__c.n").alias("n_lines"), F.col("__c.gone").alias("n_dropped"))
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ def brute(rows):
     docs = defaultdict(set)
 
     def mask(line):
-        return " ".join(L.FIELD if re.search("[0-9]", w) else w for w in re.findall(r"[^\x20\x09-\x0D]+", line))
+        return " ".join(L.FIELD.decode() if re.search("[0-9]", w) else w for w in re.findall(r"[^\x20\x09-\x0D]+", line))
 
     for i, t in rows:
         for line in (t or "").split("\n"):
