@@ -132,7 +132,9 @@ def recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     some = settled(parsed.join(often, "template").select("key", "template"))
     held = written(docs.mapInArrow(_keys, "doc_id long, key long").join(some, "key"), "template-lines")
     spread = held.select("template", "doc_id").distinct().groupBy("template").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first"))
-    drop = held.join(spread.where(F.col("docs") >= DOCUMENTS), "template").where(~F.col("doc_id").eqNullSafe(F.col("first")))
+    # settled, so that the join's sides are plain exchanges and a hot template's rows can be split
+    spread = settled(spread.where(F.col("docs") >= DOCUMENTS))
+    drop = held.join(spread, "template").where(~F.col("doc_id").eqNullSafe(F.col("first")))
     return drop.select("doc_id", "key")
 
 
