@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.residues import codes_of, is_hit, lcs, threshold
+from .base import spread
 from .candidates import distinct_pairs
 
 
@@ -36,7 +37,7 @@ def align(pairs: DataFrame, seqs: DataFrame, identity: int | None = None) -> Dat
 
     rep = seqs.select(F.col("idx").alias("rep"), F.col("seq").alias("rep_seq"))
     tar = seqs.select(F.col("idx").alias("tar"), F.col("seq").alias("tar_seq"))
-    held = pairs.join(rep, "rep").join(tar, "tar").repartition("rep", "tar")
+    held = spread(pairs.join(rep, "rep").join(tar, "tar"), "rep", "tar")
     return held.withColumn("lcs", run("rep_seq", "tar_seq")).drop("rep_seq", "tar_seq")
 
 

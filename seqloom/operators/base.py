@@ -49,3 +49,9 @@ def dense_rank_of_rows(df: DataFrame, order: list[Column], name: str) -> DataFra
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy(part.alias("__p")).agg(F.count("*").alias("__n")).select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     return placed.withColumn("__p", part).join(F.broadcast(offsets), "__p").withColumn(name, F.col("__before") + own).drop("__at", "__p", "__before")
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by hash into four times the shuffle partitions. The number is given, so that adaptive execution doesn't
+    join partitions whose rows are few but costly."""
+    return df.repartition(4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

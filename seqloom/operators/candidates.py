@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.residues import BANDS, codes_of, minhashes, project_residues, words_of
-from .base import dense_rank_of_rows
+from .base import dense_rank_of_rows, spread
 
 #: Sequences of so many bytes or more are left out.
 LENGTH_LIMIT = 65_535
@@ -42,7 +42,8 @@ def signatures(seqs: DataFrame, bands: int = BANDS) -> DataFrame:
         flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
         return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * bands), pa.array(flat, pa.int64()))
 
-    return seqs.select("idx", "read_len", sign("seq").alias("sigs"))
+    # ranked sequences lie by length, the longest together; hashing evens the work out
+    return spread(seqs.select("idx", "read_len", "seq"), "idx").select("idx", "read_len", sign("seq").alias("sigs"))
 
 
 def long_signatures(signed: DataFrame) -> DataFrame:
