@@ -2,7 +2,7 @@
 
 A page is read as a sequence of text blocks, each under its path of tags from the root. Text length,
 punctuation and link text are aggregated per path, smoothed along the page, fused into one score per path,
-and paths are thresholded. The container that holds the mass of the chosen paths gives the content nodes.
+and paths are thresholded. The containers of all chosen paths give the content nodes: every article on a page with such marks.
 """
 
 from __future__ import annotations
@@ -41,15 +41,25 @@ _DROP_WORDS = set(
 )
 _DROP_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "menu", "menubar", "form", "note", "status"}
 _DROP_ARTICLES = {"comment", "comments", "reply", "related", "recommended", "ad", "ads", "advert", "sponsored", "promo", "promotion", "widget"}
+_DIGIT = re.compile(r"[0-9]")
 _NEVER_BY_CLASS = {"html", "body", "main"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Leaves that hold their text themselves, and those that are prose even if all of it is a link.
+_BOXES = {"div", "section", "td", "th", "table", "center", "article", "main"}
+_PROSE = {"p", "blockquote", "pre", "dd", *_HEADINGS}
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、！？؟]")
 _LINK_SHARE = 0.6
 
 
-def _blocks(page: str) -> list[tuple[tuple, str, int]]:
-    """(path, text, characters in links) of each block that no dropped element holds, in page order."""
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, name in paths, dropped, in a link
+def _blocks(page: str) -> tuple[list[tuple[int, str, int]], list[int], list[str]]:
+    """The blocks of a page in order, and its tree of paths.
+
+    A block is (node, text, characters in links). A node stands for a path of tags with their classes, without ids and numbers,
+    so that sections of one kind share it; nodes are given by their parents and tags, a parent before its children.
+    """
+    up, tags, number = [-1], [""], {}
+    stack: list[tuple[str, int, bool, bool, bool]] = []  # tag, node, dropped, in a link, in an article
+    top = ("", 0, False, False, False)
     out, parts, links, at = [], [], 0, 0
 
     def flush() -> None:
@@ -57,8 +67,8 @@ def _blocks(page: str) -> list[tuple[tuple, str, int]]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                path = tuple(s[1] for s in stack if s[0] not in _INLINE)
-                out.append((path, text, min(links, len(text))))
+                here = stack[-1] if stack else top
+                out.append((here[1], text, min(links, len(text))))
         parts, links = [], 0
 
     def say(raw: str) -> None:
@@ -119,27 +129,29 @@ def _blocks(page: str) -> list[tuple[tuple, str, int]]:
                     break
             flush()
         a = {k.lower(): x or y or z for k, x, y, z in _ATTR.findall(attrs)} if attrs and not attrs.isspace() else {}
-        name, dropped = tag, bool(stack and stack[-1][2]) or tag in _DROP_TAGS
-        in_article = any(s[0] in ("article", "main") for s in stack)
-        if tag == "header" and not in_article:
-            dropped = True
+        _, node, dropped, linked, in_article = stack[-1] if stack else top
+        name, dropped = tag, dropped or tag in _DROP_TAGS or tag == "header" and not in_article
         if a:
-            said = f"{a.get('class', '')} {a.get('id', '')}".strip()
-            if said:
-                name = f"{tag}.{'.'.join(said.split())}"
-                if tag not in _NEVER_BY_CLASS and not dropped:
-                    plain = re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", said)
-                    found = _DROP_WORDS.intersection(re.split(r"[^a-z]+", plain.lower()))
-                    dropped = bool(found & _DROP_ARTICLES if tag == "article" else found - {"header"} if in_article else found)
+            kinds = [x for x in a.get("class", "").split() if not _DIGIT.search(x)]
+            if kinds:
+                name = f"{tag}.{'.'.join(kinds)}"
+            if tag not in _NEVER_BY_CLASS and not dropped:
+                plain = re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", f"{a.get('class', '')} {a.get('id', '')}")
+                found = _DROP_WORDS.intersection(re.split(r"[^a-z]+", plain.lower()))
+                dropped = bool(found & _DROP_ARTICLES if tag == "article" else found - {"header"} if in_article else found)
             style = a.get("style", "").replace(" ", "").lower()
             dropped = dropped or a.get("role", "").lower() in _DROP_ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style
-        elif tag == "header":
-            name = "header"
         if attrs.endswith("/") and tag in _INLINE:
             continue
-        stack.append((tag, name, dropped, tag == "a" or bool(stack and stack[-1][3])))
+        if tag not in _INLINE:
+            parent, node = node, number.setdefault((node, name), len(up))
+            if node == len(up):
+                up.append(parent)
+                tags.append(tag)
+        in_article = in_article or tag in ("article", "main")
+        stack.append((tag, node, dropped, linked or tag == "a", in_article))
     flush()
-    return out
+    return out, up, tags
 
 
 def _smooth(values: list[float]) -> list[float]:
@@ -150,12 +162,12 @@ def _smooth(values: list[float]) -> list[float]:
 
 def main_text(page: str | None) -> str:
     """The text of the content nodes of a page, one line per block; empty for a null page or one without text."""
-    blocks = _blocks(page) if page else []
+    blocks, up, tags = _blocks(page) if page else ([], [], [])
     if not blocks:
         return ""
-    totals: dict[tuple, list[float]] = {}  # characters, punctuation, link characters, occurrences
-    for path, text, links in blocks:
-        t = totals.setdefault(path, [0, 0, 0, 0])
+    totals: dict[int, list[float]] = {}  # characters, punctuation, link characters, occurrences
+    for node, text, links in blocks:
+        t = totals.setdefault(node, [0, 0, 0, 0])
         t[0] += len(text)
         t[1] += len(_PUNCTUATION.findall(text))
         t[2] += links
@@ -164,29 +176,56 @@ def main_text(page: str | None) -> str:
     mark_ratio = {p: 1 + t[1] / t[3] for p, t in totals.items()}
     along = _smooth([text_ratio[p] for p, _, _ in blocks])
     marks = _smooth([mark_ratio[p] for p, _, _ in blocks])
-    fused: dict[tuple, float] = {}
+    fused: dict[int, float] = {}
     for (p, _, _), a, b in zip(blocks, along, marks, strict=True):
         fused[p] = fused.get(p, 0) + a * b / totals[p][3]
     mean = sum(fused[p] * totals[p][0] for p in totals) / max(1, sum(t[0] for t in totals.values()))
-    chosen = [p for p in totals if fused[p] >= 0.1 * mean and totals[p][2] < _LINK_SHARE * totals[p][0]] or [*totals]
-
-    def root_of(p: tuple) -> tuple:
-        """The nearest article or main above a block, else the element around it."""
-        for tag in ("article", "main"):
-            for k in range(len(p) - 1, -1, -1):
-                if p[k].partition(".")[0] == tag:
-                    return p[: k + 1]
-        return p[:-1] if len(p) > 1 else p
-
-    mass: dict[tuple, float] = {}
-    for p in chosen:
-        mass[root_of(p)] = mass.get(root_of(p), 0) + totals[p][0]
-    marked = [r for r in mass if r and r[-1].partition(".")[0] in ("article", "main")]
-    root = max(marked or mass, key=lambda r: mass[r])
-    while not marked and len(root) > 1 and all(p[: len(root)] == root or p[-1].partition(".")[0] in _HEADINGS for p in totals if p[: len(root) - 1] == root[:-1]):
-        root = root[:-1]  # the element around it adds headings only
-    kept = [text for p, text, links in blocks if p[: len(root)] == root and (links < _LINK_SHARE * len(text) or root in marked and p[-1] not in ("li", "ul"))]
-    return "\n".join(kept)
+    chosen = {p for p in totals if fused[p] >= 0.1 * mean and totals[p][2] < _LINK_SHARE * totals[p][0]} or {*totals}
+
+    n = len(up)
+    article, main = [0] * n, [0] * n  # the outermost one around a node, or 0
+    for k in range(1, n):
+        article[k] = article[up[k]] or (k if tags[k] == "article" else 0)
+        main[k] = main[up[k]] or (k if tags[k] == "main" else 0)
+    if any(article[p] or main[p] for p in chosen):
+        # all articles that aren't links only, and of a main around them what is chosen; a main without articles as a whole
+        size: dict[int, list[float]] = {}
+        for p, t in totals.items():
+            if article[p]:
+                s = size.setdefault(article[p], [0, 0])
+                s[0], s[1] = s[0] + t[0], s[1] + t[2]
+        told = {r for r, (chars, linked) in size.items() if linked < _LINK_SHARE * chars} or ({*size} if not any(main[p] for p in chosen) else set())
+        parted = {main[r] for r in told if main[r]}
+
+        def keep(p: int, text: str, links: int) -> bool:
+            if article[p]:
+                return article[p] in told
+            return bool(main[p]) and (main[p] not in parted or p in chosen or tags[p] in _HEADINGS or links < _LINK_SHARE * len(text))
+
+    else:
+        rest: list[set[int]] = [set() for _ in range(n)]  # children of a node with more than headings in them
+        filled = [p in totals and tags[p] not in _HEADINGS for p in range(n)]
+        own = [p in totals for p in range(n)]
+        for k in range(n - 1, 0, -1):
+            if filled[k]:
+                rest[up[k]].add(k)
+                filled[up[k]] = True
+        roots = set()
+        for p in chosen:
+            r = p if tags[p] in _BOXES or not p else up[p]
+            while r and r not in roots and not own[up[r]] and rest[up[r]] <= {r}:
+                r = up[r]  # the element around it adds headings only
+            roots.add(r)
+        whole, part = [False] * n, [0 in roots] * n
+        for k in range(1, n):
+            page_wide = tags[k] in ("html", "body")
+            whole[k] = whole[up[k]] or k in roots and not page_wide
+            part[k] = part[up[k]] or k in roots and page_wide
+
+        def keep(p: int, text: str, links: int) -> bool:
+            return whole[p] or part[p] and (links < _LINK_SHARE * len(text) or tags[p] in _PROSE)
+
+    return "\n".join(text for p, text, links in blocks if keep(p, text, links))
 
 
 def extract(df: DataFrame, html_col: str = "html", out_col: str = "text") -> DataFrame:
