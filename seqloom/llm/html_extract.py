@@ -32,7 +32,10 @@ _CLOSES = {
     "option": {"option"}, "p": {"p"},
 }
 _SCOPE = {"html", "body", "div", "section", "article", "main", "aside", "nav", "header", "footer", "table", "ul", "ol", "dl", "td", "th", "form", "blockquote"}
-_DROP_TAGS = {"head", "nav", "aside", "footer", "form", "button", "select", "dialog", "menu", "object", "canvas", "audio", "video", "fieldset", *_RAW}
+_DROP_TAGS = {"head", "nav", "aside", "footer", "button", "select", "dialog", "menu", "object", "canvas", "audio", "video", *_RAW}
+#: Tags that count like a word of _DROP_WORDS, as whole pages may stand in them; what may stand in <head>, and anything else closes it.
+_MARK_TAGS = {"form", "fieldset"}
+_IN_HEAD = {"base", "link", "meta", "title", "style", "script", "noscript", "template"}
 _DROP_WORDS = set(
     "ad ads adv advert adverts advertisement advertising adslot sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices "
     "alert popup modal overlay sidebar side nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager footer foot masthead header topbar toolbar "
@@ -41,7 +44,12 @@ _DROP_WORDS = set(
 )
 _DROP_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "menu", "menubar", "form", "note", "status"}
 _DROP_ARTICLES = {"comment", "comments", "reply", "related", "recommended", "ad", "ads", "advert", "sponsored", "promo", "promotion", "widget"}
+#: Words that name topics or parts of an article when they stand inside one.
+_TOPICS = set("header footer foot discussion legal copyright search notice notices tags alert banner comment reply replies menu menus side respond login signup subscription skip widget widgets".split())
+_LAYOUT = re.compile(r"(?:has|with|without|no|is|not)[-_]", re.I)
 _DIGIT = re.compile(r"[0-9]")
+#: Share of a page's text that keeps an element against a word, and against a word of _DROP_ARTICLES.
+_MOST, _APART_SHARE = 0.5, 0.8
 _NEVER_BY_CLASS = {"html", "body", "main"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Leaves that hold their text themselves, and those that are prose even if all of it is a link.
@@ -55,11 +63,13 @@ def _blocks(page: str) -> tuple[list[tuple[int, str, int]], list[int], list[str]
     """The blocks of a page in order, and its tree of paths.
 
     A block is (node, text, characters in links). A node stands for a path of tags with their classes, without ids and numbers,
-    so that sections of one kind share it; nodes are given by their parents and tags, a parent before its children.
+    so that sections of one kind share it; nodes are given by their parents and tags, a parent before its children. Marks are
+    elements that a class or id word speaks against; `_Marks` says which of them stay all the same.
     """
     up, tags, number = [-1], [""], {}
-    stack: list[tuple[str, int, bool, bool, bool]] = []  # tag, node, dropped, in a link, in an article
-    top = ("", 0, False, False, False)
+    marks = _Marks()
+    stack: list[tuple[str, int, bool, bool, bool, int]] = []  # tag, node, dropped, in a link, in an article, mark
+    top = ("", 0, False, False, False, 0)
     out, parts, links, at = [], [], 0, 0
 
     def flush() -> None:
@@ -68,11 +78,13 @@ def _blocks(page: str) -> tuple[list[tuple[int, str, int]], list[int], list[str]
             text = " ".join("".join(parts).split())
             if text:
                 here = stack[-1] if stack else top
-                out.append((here[1], text, min(links, len(text))))
+                out.append((here[1], text, min(links, len(text)), here[5], here[4]))
         parts, links = [], 0
 
     def say(raw: str) -> None:
         nonlocal links
+        if raw and stack and stack[-1][0] == "head" and not raw.isspace():
+            pop_to(len(stack) - 1)
         if raw and not (stack and stack[-1][2]):
             text = entities.unescape(raw)
             parts.append(text)
@@ -106,6 +118,8 @@ def _blocks(page: str) -> tuple[list[tuple[int, str, int]], list[int], list[str]
                 if stack[k][0] in _SCOPE and tag in _INLINE:
                     break
             continue
+        if stack and stack[-1][0] == "head" and tag not in _IN_HEAD:
+            pop_to(len(stack) - 1)  # </head> may be left out
         if tag in _RAW:
             if not attrs.endswith("/"):
                 stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
@@ -129,29 +143,81 @@ def _blocks(page: str) -> tuple[list[tuple[int, str, int]], list[int], list[str]
                     break
             flush()
         a = {k.lower(): x or y or z for k, x, y, z in _ATTR.findall(attrs)} if attrs and not attrs.isspace() else {}
-        _, node, dropped, linked, in_article = stack[-1] if stack else top
+        _, node, dropped, linked, in_article, mark = stack[-1] if stack else top
         name, dropped = tag, dropped or tag in _DROP_TAGS or tag == "header" and not in_article
+        found = {tag} if tag in _MARK_TAGS else set()
         if a:
             kinds = [x for x in a.get("class", "").split() if not _DIGIT.search(x)]
             if kinds:
                 name = f"{tag}.{'.'.join(kinds)}"
-            if tag not in _NEVER_BY_CLASS and not dropped:
-                plain = re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", f"{a.get('class', '')} {a.get('id', '')}")
-                found = _DROP_WORDS.intersection(re.split(r"[^a-z]+", plain.lower()))
-                dropped = bool(found & _DROP_ARTICLES if tag == "article" else found - {"header"} if in_article else found)
+            if tag not in _NEVER_BY_CLASS:
+                found |= _words_against(f"{a.get('class', '')} {a.get('id', '')}", tag, in_article)
             style = a.get("style", "").replace(" ", "").lower()
             dropped = dropped or a.get("role", "").lower() in _DROP_ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style
         if attrs.endswith("/") and tag in _INLINE:
             continue
+        if found and not dropped:
+            mark = marks.add(mark, in_article, bool(found & _DROP_ARTICLES))
         if tag not in _INLINE:
             parent, node = node, number.setdefault((node, name), len(up))
             if node == len(up):
                 up.append(parent)
                 tags.append(tag)
-        in_article = in_article or tag in ("article", "main")
-        stack.append((tag, node, dropped, linked or tag == "a", in_article))
+        in_article = in_article or tag in ("article", "main") and not (found or dropped)
+        stack.append((tag, node, dropped, linked or tag == "a", in_article, mark))
     flush()
-    return out, up, tags
+    gone = marks.gone(out)
+    return [x[:3] for x in out if not gone[x[3]]] or [x[:3] for x in out], up, tags
+
+
+def _words_against(said: str, tag: str, in_article: bool) -> set[str]:
+    """The words of class and id that speak against an element. Names like has-sidebar tell of the page and not of the element."""
+    names = [x for x in said.split() if not _LAYOUT.match(x)]
+    plain = re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", " ".join(names))
+    found = _DROP_WORDS.intersection(re.split(r"[^a-z]+", plain.lower()))
+    return found & _DROP_ARTICLES if tag == "article" else found - _TOPICS if in_article else found
+
+
+class _Marks:
+    """Elements that a word speaks against. Index 0 is none; a mark comes after the marks around it."""
+
+    def __init__(self):
+        self.up, self.inside, self.apart = [0], [True], [False]
+
+    def add(self, up: int, inside: bool, apart: bool) -> int:
+        """A mark under `up`; inside an article or not; apart if its words name what is never part of an article."""
+        self.up.append(up)
+        self.inside.append(inside)
+        self.apart.append(apart)
+        return len(self.up) - 1
+
+    def gone(self, blocks: list[tuple]) -> list[bool]:
+        """Whether the text in each mark goes.
+
+        A word alone drops nothing that holds most of the page's text, or an article or main, unless articles outside all
+        marks have more text. What is apart needs nearly all text, and no such articles.
+        """
+        n = len(self.up)
+        chars, held, outer = [0] * n, [0] * n, [False] * n
+        for m in range(1, n):
+            outer[m] = outer[self.up[m]] or not self.inside[m]
+        for _, text, _, m, in_article in blocks:
+            chars[m] += len(text)
+            if in_article and (outer[m] or not m):
+                held[m] += len(text)
+            elif in_article:
+                held[0] += len(text)
+        free = held[0]
+        for m in range(n - 1, 0, -1):
+            chars[self.up[m]] += chars[m]
+            if self.up[m] and not self.apart[m]:
+                held[self.up[m]] += held[m]
+        out = [False] * n
+        for m in range(1, n):
+            article = held[m] and held[m] >= free and not self.inside[m] and not self.apart[m]
+            share = chars[m] > (_APART_SHARE if self.apart[m] else _MOST) * chars[0] and (self.inside[m] or not (self.apart[m] and free))
+            out[m] = out[self.up[m]] or not (article or share)
+        return out
 
 
 def _smooth(values: list[float]) -> list[float]:

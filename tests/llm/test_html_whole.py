@@ -26,3 +26,27 @@ def test_all_articles_and_the_lead_are_kept():
 def test_links_in_the_content_are_kept():
     assert main_text(f"<article>{para(1)}<ul><li><a href=x>A link</a></li></ul></article>") == lines(1) + "\nA link"
     assert main_text(f"<body><div id=c>{para(1)}<p><a href=x>A link</a></p></div></body>") == lines(1) + "\nA link"
+
+
+@pytest.mark.parametrize("box", ['class="container with-sidebar"', 'class="sidebar-layout"', "id=page class=has-navbar", 'class="menu"'])
+@pytest.mark.parametrize("inner", ["article", "div"])
+def test_no_word_drops_the_page(box, inner):
+    assert main_text(f"<body><div {box}><{inner}>{para(1)}</{inner}></div></body>") == lines(1)
+
+
+@pytest.mark.parametrize("kind", ["id=discussion", "class=legal", "class=search", "class=notice", "class=tags"])
+def test_topics_stay_in_an_article(kind):
+    assert main_text(f"<article>{para(1, 3)}<section {kind}>{para(2)}</section><div class=advert>Buy!</div></article>") == lines(1, 1, 1, 2)
+
+
+def test_words_still_tell_what_is_apart():
+    assert main_text(f"<article>{para(1)}</article><div class=sidebar><article>Teaser.</article></div><div class=comments>{para(3, 9)}</div>") == lines(1)
+
+
+def test_head_ends_without_its_end_tag():
+    assert main_text(f"<html><head><title>T</title><meta charset=x><body>{para(1)}</body></html>") == lines(1)
+    assert main_text(f"<html><head><title>T</title>{para(1)}</html>") == lines(1)
+
+
+def test_words_alone_leave_no_page_empty():
+    assert main_text("<body><div class=sidebar>One.</div><div class=footer>Two.</div></body>") == "One.\nTwo."
