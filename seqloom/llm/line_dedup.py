@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches, release, settled, written
 
-#: Words from which a line is looked at, documents from which a template recurs, and leading words that a path through the tree has.
+#: Words from which a line has a template, documents from which a template recurs, and leading words that a path through the tree has.
 WORDS, DOCUMENTS, DEPTH = 5, 3, 3
+#: Words from which a line is long, documents from which a long template recurs, and those from which a line of under WORDS words does.
+LONG, LONG_DOCUMENTS, SHORT_DOCUMENTS = 20, 2, 10
 #: Share of words, place by place, that a line has in common with the first line of its template.
 SIMILAR = 0.75
 FIELD = b"<*>"
@@ -23,15 +25,15 @@ _FIELD = re.compile(rb"[^ ]*[0-9][^ ]*")
 
 
 def masked(line: bytes) -> bytes | None:
-    """A line with single spaces between its words and a mark for each word that has a digit; None if it is too short.
+    """A line with single spaces between its words and a mark for each word that has a digit; None if it has no words.
 
-    bytes.split() splits at the six ASCII spaces, which are those that separate words here.
+    A line of under WORDS words keeps its digits, as it recurs by equality only. bytes.split() splits at the six ASCII spaces, which are those that separate words here.
     """
     words = line.split()
-    if len(words) < WORDS:
+    if not words:
         return None
     plain = b" ".join(words)
-    return _FIELD.sub(FIELD, plain) if _DIGIT.search(plain) else plain
+    return _FIELD.sub(FIELD, plain) if len(words) >= WORDS and _DIGIT.search(plain) else plain
 
 
 def line_key(line: bytes) -> int:
@@ -74,18 +76,27 @@ class Leaf:
         return self.lines[best][1]
 
 
+def documents_of(words: int) -> int:
+    """Documents from which a template of so many words recurs."""
+    return SHORT_DOCUMENTS if words < WORDS else DOCUMENTS if words < LONG else LONG_DOCUMENTS
+
+
 def _parse(batches):
-    """The template of each distinct line; rows come by path, so one leaf is held at a time."""
+    """The template of each distinct line and the documents it needs; rows come by path, so one leaf is held at a time."""
     path, leaf = None, None
     for batch in batches:
-        out = []
+        out, least = [], []
         for p, key, line in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             tokens = line.split(" ")
+            least.append(documents_of(len(tokens)))
+            if len(tokens) < WORDS:
+                out.append(key)
+                continue
             here = (len(tokens), *tokens[:DEPTH])
             if here != path:
                 path, leaf = here, Leaf(len(tokens))
             out.append(leaf.template(tokens, key))
-        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.int64()), batch.column(3)], ["key", "template", "docs"])
+        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.int64()), batch.column(3), pa.array(least, pa.int8())], ["key", "template", "docs", "least"])
         release()
 
 
@@ -120,20 +131,21 @@ def recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     The tree's path is the number of words and the first DEPTH of them; fields that vary are generalised by the mask and by
     the places in which a template's lines differ. Lines are made distinct first, in each batch and again on the map side, so a
-    line that a third of all documents has is one row of its leaf. A template recurs if DOCUMENTS documents have lines of it; all
-    but the one with the smallest id lose them.
+    line that a third of all documents has is one row of its leaf. A template recurs if DOCUMENTS documents have lines of it, or
+    LONG_DOCUMENTS if these are long; a line of under WORDS words is its own template and needs SHORT_DOCUMENTS. All
+    but the document with the smallest id lose the lines.
     """
     bound_batches(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     distinct = docs.select("text").mapInArrow(_distinct, "path long, key long, line string, docs long").groupBy("path", "key", "line").agg(F.sum("docs").alias("docs"))
-    parsed = distinct.repartition("path").sortWithinPartitions("path", "line").select("path", "key", "line", "docs").mapInArrow(_parse, "key long, template long, docs long")
+    parsed = distinct.repartition("path").sortWithinPartitions("path", "line").select("path", "key", "line", "docs").mapInArrow(_parse, "key long, template long, docs long, least byte")
     parsed = written(parsed, "line-templates")
-    often = parsed.groupBy("template").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= DOCUMENTS).select("template")
-    some = settled(parsed.join(often, "template").select("key", "template"))
+    often = parsed.groupBy("template", "least").agg(F.sum("docs").alias("docs")).where("docs >= least").select("template")
+    some = settled(parsed.join(often, "template").select("key", "template", "least"))
     held = written(docs.mapInArrow(_keys, "doc_id long, key long").join(some, "key"), "template-lines")
-    spread = held.select("template", "doc_id").distinct().groupBy("template").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first"))
+    spread = held.select("template", "least", "doc_id").distinct().groupBy("template", "least").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first"))
     # settled, so that the join's sides are plain exchanges and a hot template's rows can be split
-    spread = settled(spread.where(F.col("docs") >= DOCUMENTS))
+    spread = settled(spread.where("docs >= least").select("template", "first"))
     drop = held.join(spread, "template").where(~F.col("doc_id").eqNullSafe(F.col("first")))
     return drop.select("doc_id", "key")
 
