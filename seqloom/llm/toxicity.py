@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, release
+from .common import bound_batches, release, settled
 from .langid import fold
 
 #: Labelled rows that lexicon and weights are learned from, at most: those with the smallest hash of their id.
@@ -20,7 +20,9 @@ LABELLED_ROWS = 20_000
 LEXICON = 2_000
 PREFIXES = range(3, 9)
 #: Least length of a word, and of a stem, that may be met with one edit.
-FUZZY_WORD, FUZZY_STEM = 5, 8
+FUZZY_WORD, FUZZY_STEM = 4, 4
+#: Length of a word and of a stem, and share of the toxic documents, from which an edit costs no more; below, the power by which it does.
+FULL_WORD, FULL_STEM, FULL_SHARE, COST = 5, 8, 0.05, 3
 WINDOW = 8
 STATES = 50_000
 KNOWN_CLEAN = 100_000
@@ -35,6 +37,10 @@ EXACT, FUZZY, WEAK = 1, 2, 3
 FEATURES = 4
 #: What a term met with an edit counts, and how many words that are near a term but stand in clean documents are kept.
 NEAR, NEIGHBOURS = 0.8, 5_000
+#: Clean documents where an edit costs no more, and share of the rate among toxic ones, from which a word near a term counts as an ordinary word.
+NEIGHBOUR_DOCUMENTS, NEIGHBOUR_RATE = 2, 0.5
+#: Ordinary words near a term, above which an edit of it tells nothing.
+CROWD = 20
 
 
 class FuzzyLexicon:
@@ -43,13 +49,16 @@ class FuzzyLexicon:
     A state of the product is a set of (trie node, edits, pending letter); the pending letter is the second half
     of a swap. States are made when first met and kept as a deterministic automaton, so a word costs one table
     look-up per letter and most words end in the dead state after a few. A stem accepts whatever follows it.
-    With `fuzzy`, only those entries are met with an edit.
+    With `fuzzy`, only those entries are met with an edit. `near` has what an entry met so counts, NEAR if it is missing.
     """
 
-    def __init__(self, words: list[str], stems: list[str], fuzzy: list[str] | None = None):
+    def __init__(self, words: list[str], stems: list[str], fuzzy: list[str] | None = None, near: dict[str, float] | None = None):
+        fuzzy, near = fuzzy if fuzzy is None else {*fuzzy}, near or {}
         self.child: list[dict[str, int]] = [{}]
         self.word_len: dict[int, int] = {}
         self.stem_len: dict[int, int] = {}
+        self.near: dict[int, tuple[float, str]] = {}
+        self.entry = ""  # the entry that the last word was near to
         for entries, ends in ((words, self.word_len), (stems, self.stem_len)):
             for entry in entries:
                 node = 0
@@ -61,6 +70,7 @@ class FuzzyLexicon:
                         self.child[node][c] = nxt
                     node = nxt
                 ends[node] = len(entry) if fuzzy is None or entry in fuzzy else 0
+                self.near[node] = max(self.near.get(node, (0.0, "")), (near.get(entry, NEAR), entry))
         self._reset()
 
     def _reset(self) -> None:
@@ -69,6 +79,8 @@ class FuzzyLexicon:
         self.moves: list[dict[str, int]] = [{}]
         self.accept: list[int] = [0]
         self.always: list[int] = [0]
+        self.accept_near: list[tuple[float, str]] = [(0.0, "")]
+        self.always_near: list[tuple[float, str]] = [(0.0, "")]
         self.start = self._state({(0, 0, "")})
 
     def _state(self, items: set) -> int:
@@ -84,14 +96,19 @@ class FuzzyLexicon:
             self.states.append(key)
             self.moves.append({})
             word = stem = 0
+            word_near = stem_near = (0.0, "")
             for node, edits, pending in key:
                 if pending:
                     continue
                 if node in self.word_len and (edits == 0 or self.word_len[node] >= FUZZY_WORD):
                     word = EXACT if edits == 0 or word == EXACT else FUZZY
+                    word_near = max(word_near, self.near[node])
                 if node in self.stem_len and (edits == 0 or self.stem_len[node] >= FUZZY_STEM):
                     stem = EXACT if edits == 0 or stem == EXACT else FUZZY
+                    stem_near = max(stem_near, self.near[node])
             self.always.append(stem)
+            self.always_near.append(stem_near)
+            self.accept_near.append(max(word_near, stem_near))
             self.accept.append(EXACT if EXACT in (word, stem) else word or stem)
         return got
 
@@ -117,20 +134,29 @@ class FuzzyLexicon:
 
     def match(self, word: str) -> int:
         """0, EXACT or FUZZY."""
+        return self.meet(word)[0]
+
+    def meet(self, word: str) -> tuple[int, float]:
+        """0, EXACT or FUZZY, and what the hit counts."""
         if len(self.states) > STATES:
             self._reset()
-        state, moves, best = self.start, self.moves, 0
+        state, moves, best, near = self.start, self.moves, 0, (0.0, "")
         for c in word:
             nxt = moves[state].get(c)
             state = self._move(state, c) if nxt is None else nxt
             if not state:
-                return best
+                break
             if self.always[state]:
                 if self.always[state] == EXACT:
-                    return EXACT
-                best = FUZZY
+                    return EXACT, 1.0
+                best, near = FUZZY, max(near, self.always_near[state])
         got = self.accept[state]
-        return EXACT if got == EXACT else best or got
+        if got == EXACT:
+            return EXACT, 1.0
+        if got:
+            best, near = FUZZY, max(near, self.accept_near[state])
+        self.entry = near[1]
+        return best, near[0]
 
 
 class Scorer:
@@ -138,23 +164,29 @@ class Scorer:
 
     def __init__(self, model: dict):
         self.model = model
-        self.lexicon = FuzzyLexicon(model["words"], model["stems"], model["fuzzy"])
-        self.weak = {*model["weak_words"], *(x + "\0" for x in model["weak_stems"])}
+        self.lexicon = FuzzyLexicon(model["words"], model["stems"], model["fuzzy"], model.get("near"))
+        self.weak = FuzzyLexicon(model["weak_words"], model["weak_stems"], model.get("weak_fuzzy"), model.get("near"))
         self.neighbours = set(model["neighbours"])
         self.clean: set[str] = set()
-        self.hits: dict[str, int] = {}
-
-    def kind(self, word: str) -> int:
-        """0, EXACT, FUZZY, or WEAK for a term that toxic documents only share with many clean ones."""
-        got = self.lexicon.match(word)
-        if got != EXACT and self.weak and (word in self.weak or any(word[:n] + "\0" in self.weak for n in PREFIXES)):
-            return WEAK
-        return 0 if got == FUZZY and word in self.neighbours else got
+        self.hits: dict[str, tuple[int, float]] = {}
+
+    def meet(self, word: str) -> tuple[int, float]:
+        """0, EXACT, FUZZY, or WEAK for a term that toxic documents only share with many clean ones, and what the hit counts: 1 if exact."""
+        got, near = self.lexicon.meet(word)
+        if got == EXACT:
+            return got, near
+        weak, weak_near = self.weak.meet(word)
+        if weak == EXACT:
+            return WEAK, weak_near
+        if not (got or weak) or word in self.neighbours:
+            return 0, 0.0
+        self.entry = self.lexicon.entry if got else self.weak.entry
+        return (got, near) if got else (WEAK, weak_near)
 
     def features(self, text: str | None) -> list[float]:
         """Logarithms of the abuse found, quoted, and by weak terms, and the share of hits among words.
 
-        A hit counts 1, with an edit NEAR. Inside quotation marks, or with a reporting word near it, it counts as quoted unless the
+        A hit counts 1, with an edit NEAR, or less for a short or rare term. Inside quotation marks, or with a reporting word near it, it counts as quoted unless the
         window also addresses someone; a second hit, an exclamation or an address in the window raises it.
         """
         if not text:
@@ -164,16 +196,16 @@ class Scorer:
         new -= self.clean
         found = {}
         for t in new:
-            kind = self.hits.get(t)
-            if kind is None:
+            hit = self.hits.get(t)
+            if hit is None:
                 bare = t.strip(_EDGE)
-                kind = self.kind(bare) if bare else 0
-                if kind:
-                    self.hits[t] = kind
+                hit = self.meet(bare) if bare else (0, 0.0)
+                if hit[0]:
+                    self.hits[t] = hit
                 else:
                     self.clean.add(t)
                     continue
-            found[t] = kind
+            found[t] = hit
         if len(self.clean) > KNOWN_CLEAN:
             self.clean.clear()
         if len(self.hits) > KNOWN_CLEAN:
@@ -195,8 +227,8 @@ class Scorer:
             quoted = (k in inside or not _REPORT.isdisjoint(near)) and not addressed
             others = any(max(0, k - WINDOW) <= j <= k + WINDOW and j != k for j in (k - 1, k + 1) if j in places)
             weight = 1.0 + 0.25 * addressed + 0.25 * others + 0.1 * ("!" in tokens[k])
-            kind = found[tokens[k]]
-            sums[1 if quoted else 2 if kind == WEAK else 0] += weight * (NEAR if kind == FUZZY else 1.0)
+            kind, counts = found[tokens[k]]
+            sums[1 if quoted else 2 if kind == WEAK else 0] += weight * counts
         return [*map(math.log1p, sums), min(1.0, 10 * len(at) / len(tokens))]
 
     def score(self, text: str | None) -> float:
@@ -232,8 +264,9 @@ def choose_lexicon(counts: list[tuple[str, int, int]], n_toxic: int, n_clean: in
     """Terms that mark toxic documents, from (term, toxic documents, clean documents).
 
     A term needs 3 toxic documents and 2 % of them. It is strong if at least four in five of its documents are toxic
-    and its smoothed odds are 20 times those of clean documents, and weak with one in two and 8 times. Only strong
-    terms of 5 % of the toxic documents may be met with an edit, as rarer ones are near too many other words.
+    and its smoothed odds are 20 times those of clean documents, and weak with one in two and 8 times. Strong and
+    weak terms of four letters or more may be met with an edit; `near` has what they count then, less for short and rare
+    ones, as these are near too many other words.
     """
     strong, weak = {}, {}
     for term, pos, neg in counts:
@@ -242,8 +275,12 @@ def choose_lexicon(counts: list[tuple[str, int, int]], n_toxic: int, n_clean: in
             (strong if odds >= 20 and pos >= 4 * neg else weak)[term] = pos
     words, stems = _narrow(strong)
     weak_words, weak_stems = _narrow(weak)
-    common = {t[2:] for t, n in strong.items() if n >= 0.05 * n_toxic}
-    return {"words": words, "stems": stems, "fuzzy": [x for x in words + stems if x in common], "weak_words": weak_words, "weak_stems": weak_stems}
+    near: dict[str, float] = {}
+    for kind, full, entries in (("W:", FULL_WORD, words + weak_words), ("S:", FULL_STEM, stems + weak_stems)):
+        for x in entries:
+            share = (strong.get(kind + x) or weak[kind + x]) / max(1, n_toxic)
+            near[x] = max(near.get(x, 0.0), NEAR * (min(1.0, len(x) / full) * min(1.0, share / FULL_SHARE)) ** COST)
+    return {"words": words, "stems": stems, "fuzzy": words + stems, "weak_fuzzy": weak_words + weak_stems, "near": near, "weak_words": weak_words, "weak_stems": weak_stems}
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray, prior: tuple = (2.0, 0.4, 1.0, 1.0), rounds: int = 30) -> tuple[float, list[float]]:
@@ -307,14 +344,24 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = LABELLED_ROWS) -> dict
         return model
 
     def near(batches):
-        scorer, found = Scorer(model), set()
+        scorer, found = Scorer(model), {False: Counter(), True: Counter()}
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                found.update(w for t in set(text.lower().split()) if (w := t.strip(_EDGE)) and scorer.kind(w) == FUZZY)
-        yield pa.RecordBatch.from_pydict({"word": pa.array(sorted(found), pa.string())})
-
-    # ordinary words that happen to be one edit from a term: those that clean documents have
-    rows = sample.where("toxic = 0").mapInArrow(near, "word string").groupBy("word").count().orderBy(F.desc("count"), "word").limit(NEIGHBOURS).collect()
+            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+                found[toxic > 0].update({(w, scorer.entry, n) for t in set(text.lower().split()) if (w := t.strip(_EDGE)) and 0 < (n := scorer.meet(w)[1]) < 1})
+        met = sorted({**found[True], **found[False]})
+        cols = [*(pa.array([x[k] for x in met], t) for k, t in enumerate((pa.string(), pa.string(), pa.float64()))), *(pa.array([found[k][x] for x in met], pa.int64()) for k in (True, False))]
+        yield pa.RecordBatch.from_arrays(cols, ["word", "term", "counts", "pos", "neg"])
+
+    # ordinary words that happen to be one edit from a term: those that are about as common in clean documents as in toxic ones,
+    # and in more than one of them unless the term is short or rare; a term in a crowd of such words is met as it is written only
+    ordinary = settled(
+        sample.mapInArrow(near, "word string, term string, counts double, pos long, neg long").groupBy("word", "term", "counts").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+        .where((F.col("neg") >= F.when(F.col("counts") < NEAR, 1).otherwise(NEIGHBOUR_DOCUMENTS)) & (F.col("neg") / n_neg >= NEIGHBOUR_RATE * F.col("pos") / n_pos))
+    )
+    crowded = [r["term"] for r in ordinary.groupBy("term").count().where(F.col("count") > CROWD).collect()]
+    for kind in ("fuzzy", "weak_fuzzy"):
+        lexicon[kind] = model[kind] = [x for x in lexicon[kind] if x not in crowded]
+    rows = ordinary.where(~F.col("term").isin(crowded)).orderBy(F.desc("neg"), "word").limit(NEIGHBOURS).collect()
     lexicon["neighbours"] = model["neighbours"] = [r["word"] for r in rows]
 
     def featurise(batches):
