@@ -1,13 +1,14 @@
 """Main text of web pages by tag-path ratios.
 
-A page is read as a sequence of text blocks, each under its path of tags from the root. Text length,
-punctuation and link text are aggregated per path, smoothed along the page, fused into one score per path,
-and paths are thresholded. The containers of all chosen paths give the content nodes: every article on a page with such marks.
+A page is read as a sequence of text blocks, each under its path of tags from the root. Text length, punctuation and link
+text are aggregated per path and smoothed along the page; their logarithms are fused with what tags and class words say
+for or against a path, and with the ratio of the element that a block lies in. Blocks near the page's level are the content.
 """
 
 from __future__ import annotations
 
 import html as entities
+import math
 import re
 
 import pyarrow as pa
@@ -22,63 +23,95 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "noembed", "noframes", "xmp", "template", "svg", "math"}
+#: Elements whose inside is no text of the page: up to the first end tag, or with inner ones of the same name.
+_RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "noembed", "noframes", "xmp"}
+_NESTED = {"template", "svg", "math"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split()
 )
 _CLOSES = {
-    "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
-    "option": {"option"}, "p": {"p"},
+    "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
+    "option": ("option",),
 }
 _SCOPE = {"html", "body", "div", "section", "article", "main", "aside", "nav", "header", "footer", "table", "ul", "ol", "dl", "td", "th", "form", "blockquote"}
-_DROP_TAGS = {"head", "nav", "aside", "footer", "button", "select", "dialog", "menu", "object", "canvas", "audio", "video", *_RAW}
-#: Tags that count like a word of _DROP_WORDS, as whole pages may stand in them; what may stand in <head>, and anything else closes it.
-_MARK_TAGS = {"form", "fieldset"}
+#: Elements that never show prose, those that are beside a page's main text by definition, and others that speak against what is in them.
+_GONE = {"head", "button", "select", "object", "canvas", "audio", "video"}
+_BESIDE = {"nav", "aside", "footer", "dialog", "menu"}
+_AGAINST_TAGS = {"form", "fieldset"}
+#: What may stand in <head>; anything else closes it.
 _IN_HEAD = {"base", "link", "meta", "title", "style", "script", "noscript", "template"}
-_DROP_WORDS = set(
+_AGAINST_WORDS = set(
     "ad ads adv advert adverts advertisement advertising adslot sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices "
     "alert popup modal overlay sidebar side nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager footer foot masthead header topbar toolbar "
     "comment comments commentlist respond reply replies discussion disqus share sharing social related recommended recommendations newsletter subscribe "
-    "subscription signup login search widget widgets skip skiplink tags byline-links legal copyright".split()
+    "subscription signup login search widget widgets skip skiplink tags legal copyright".split()
 )
-_DROP_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "menu", "menubar", "form", "note", "status"}
-_DROP_ARTICLES = {"comment", "comments", "reply", "related", "recommended", "ad", "ads", "advert", "sponsored", "promo", "promotion", "widget"}
+_AGAINST_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "menu", "menubar", "form", "note", "status"}
+#: Words that speak against an article element itself.
+_AGAINST_ARTICLES = {"comment", "comments", "reply", "related", "recommended", "ad", "ads", "advert", "sponsored", "promo", "promotion", "widget"}
 #: Words that name topics or parts of an article when they stand inside one.
 _TOPICS = set("header footer foot discussion legal copyright search notice notices tags alert banner comment reply replies menu menus side respond login signup subscription skip widget widgets".split())
-_LAYOUT = re.compile(r"(?:has|with|without|no|is|not)[-_]", re.I)
+#: Words of layout. Inside an article a name speaks against its element only if it has no other words than these and _AGAINST_WORDS.
+_LAYOUT_WORDS = set(
+    "area article bar block blocks body bottom box button buttons container content entry footer form group header inner item items left link links list main "
+    "outer page panel post posts right row section site slot text top unit wrap wrapper".split()
+)
+_ABOUT_PAGE = re.compile(r"(?:has|with|without|no|is|not)[-_]", re.I)
 _DIGIT = re.compile(r"[0-9]")
-#: Share of a page's text that keeps an element against a word, and against a word of _DROP_ARTICLES.
-_MOST, _APART_SHARE = 0.5, 0.8
 _NEVER_BY_CLASS = {"html", "body", "main"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-#: Leaves that hold their text themselves, and those that are prose even if all of it is a link.
-_BOXES = {"div", "section", "td", "th", "table", "center", "article", "main"}
-_PROSE = {"p", "blockquote", "pre", "dd", *_HEADINGS}
+_PAGE_WIDE = {"", "html", "body"}
+#: Elements that hold blocks together: a block takes over the ratio of the box it is in, less STEP for each box between.
+_BOXES = {"div", "section", "td", "th", "center", "article", "main"}
+_CELLS = {"td", "th"}
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、！？؟]")
-_LINK_SHARE = 0.6
+#: All scores are natural logarithms. Evidence for what lies in an article or main, and against each element that a tag, role or word speaks against.
+FOR, AGAINST = 4.0, -6.0
+#: A block is content if its score is at most BELOW under the page's level.
+BELOW, STEP, HEADING_STEP = 2.5, 0.5, 0.5
+#: Characters and punctuation marks per block, from which more say nothing more.
+LONG_TEXT, MANY_MARKS = 400, 10
+LINK_SHARE = 0.6
+
+
+class _Tree:
+    """The open elements of a page as a tree: element 0 is the page, a parent comes before its children. Each element knows the number of its path."""
+
+    def __init__(self):
+        self.up, self.path, self.tag, self.against, self.inside, self.beside = [-1], [0], [""], [0], [False], [False]
+        self._number: dict[tuple, int] = {}
+
+    def child(self, parent: int, name: tuple, against: bool, inside: bool, beside: bool) -> int:
+        """A new element; name is its tag and classes, against whether it is spoken against itself, the others whether it lies in what they name."""
+        self.up.append(parent)
+        self.path.append(self._number.setdefault((self.path[parent], name, against), len(self._number) + 1))
+        self.tag.append(name[0])
+        self.against.append(self.against[parent] + against)
+        self.inside.append(inside)
+        self.beside.append(beside)
+        return len(self.up) - 1
 
 
-def _blocks(page: str) -> tuple[list[tuple[int, str, int]], list[int], list[str]]:
-    """The blocks of a page in order, and its tree of paths.
+def _blocks(page: str) -> tuple[list[tuple[int, str, int]], _Tree]:
+    """The blocks (element, text, characters in links) of a page in order, and its tree of elements.
 
-    A block is (node, text, characters in links). A node stands for a path of tags with their classes, without ids and numbers,
-    so that sections of one kind share it; nodes are given by their parents and tags, a parent before its children. Marks are
-    elements that a class or id word speaks against; `_Marks` says which of them stay all the same.
+    A path is a sequence of tags with their classes, without ids and numbers, so that sections of one kind share it. An element
+    knows how many elements around it are spoken against, and whether an article or main is among them.
     """
-    up, tags, number = [-1], [""], {}
-    marks = _Marks()
-    stack: list[tuple[str, int, bool, bool, bool, int]] = []  # tag, node, dropped, in a link, in an article, mark
-    top = ("", 0, False, False, False, 0)
+    tree = _Tree()
+    stack: list[tuple[str, int, bool, bool]] = []  # tag, element, not shown, in a link
+    frames: list[tuple[int, dict[str, int]]] = [(-1, {})]  # place of each open element of _SCOPE, and other tags open since
+    opened: dict[str, int] = {}
     out, parts, links, at = [], [], 0, 0
+    closed: dict[str, bool] = {}  # whether an end tag may still come
 
     def flush() -> None:
         nonlocal parts, links
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                here = stack[-1] if stack else top
-                out.append((here[1], text, min(links, len(text)), here[5], here[4]))
+                out.append((stack[-1][1] if stack else 0, text, min(links, len(text))))
         parts, links = [], 0
 
     def say(raw: str) -> None:
@@ -94,13 +127,38 @@ def _blocks(page: str) -> tuple[list[tuple[int, str, int]], list[int], list[str]
     def pop_to(k: int) -> None:
         if any(s[0] not in _INLINE for s in stack[k:]):
             flush()
+        for s in reversed(stack[k:]):
+            opened[s[0]] -= 1
+            if s[0] in _SCOPE:
+                frames.pop()
+            else:
+                frames[-1][1][s[0]] -= 1
         del stack[k:]
 
+    def last_of(tags: tuple) -> int:
+        return next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in tags)
+
+    def skip(tag: str, nested: bool) -> int:
+        """Where an element ends whose inside is left out: behind its end tag; without one, behind its start tag if it may hold elements, else at the page's end."""
+        if closed.get(tag) is False:
+            return at if nested else end
+        deep, here = 1, at
+        for m in re.compile(rf"<(/?){tag}(?=[\s/>])[^>]*>", re.I).finditer(page, at):
+            deep += -1 if m[1] else 0 if not nested or m[0].endswith("/>") else 1
+            if not deep:
+                return m.end()
+            if m[1]:
+                here = m.end()
+        closed[tag] = False
+        return here if nested else end
+
     find, end = _TOKEN.search, len(page)
+    last = page.rfind(">") + 1  # no tag ends behind it
     while at < end:
-        m = find(page, at)
+        m = find(page, at, last) if at < last else None
         if m is None:
-            say(page[at:])
+            rest = page[at:]
+            say(rest[: rest.find("<!--")] if "<!--" in rest else rest)
             break
         say(page[at : m.start()])
         at = m.end()
@@ -111,19 +169,14 @@ def _blocks(page: str) -> tuple[list[tuple[int, str, int]], list[int], list[str]
             continue
         closing, tag, attrs = (m[1] or m[4]) == "/", tag.lower(), m[3] or m[6] or ""
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    pop_to(k)
-                    break
-                if stack[k][0] in _SCOPE and tag in _INLINE:
-                    break
+            if frames[-1][1].get(tag) if tag in _INLINE else opened.get(tag):
+                pop_to(last_of((tag,)))
             continue
         if stack and stack[-1][0] == "head" and tag not in _IN_HEAD:
             pop_to(len(stack) - 1)  # </head> may be left out
-        if tag in _RAW:
+        if tag in _RAW or tag in _NESTED:
             if not attrs.endswith("/"):
-                stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = stop.end() if stop else end
+                at = skip(tag, tag in _NESTED)
             if tag not in ("svg", "math"):
                 flush()
             continue
@@ -134,168 +187,153 @@ def _blocks(page: str) -> tuple[list[tuple[int, str, int]], list[int], list[str]
                 flush()
             continue
         if tag not in _INLINE:
-            closes = _CLOSES.get(tag, {"p"})
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in closes:
-                    pop_to(k)
-                    break
-                if stack[k][0] in _SCOPE:
-                    break
+            closes, (place, since) = _CLOSES.get(tag, ("p",)), frames[-1]
+            if any(since.get(c) for c in closes):
+                pop_to(last_of(closes))
+            elif place >= 0 and stack[place][0] in closes:
+                pop_to(place)
             flush()
+        if attrs.endswith("/") and tag in _INLINE:
+            continue
         a = {k.lower(): x or y or z for k, x, y, z in _ATTR.findall(attrs)} if attrs and not attrs.isspace() else {}
-        _, node, dropped, linked, in_article, mark = stack[-1] if stack else top
-        name, dropped = tag, dropped or tag in _DROP_TAGS or tag == "header" and not in_article
-        found = {tag} if tag in _MARK_TAGS else set()
+        _, node, gone, linked = stack[-1] if stack else ("", 0, False, False)
+        inside = tree.inside[node]
+        beside, kinds = tag in _BESIDE or tag == "header" and not inside, ()
+        against = beside or tag in _AGAINST_TAGS
+        gone = gone or tag in _GONE
         if a:
-            kinds = [x for x in a.get("class", "").split() if not _DIGIT.search(x)]
-            if kinds:
-                name = f"{tag}.{'.'.join(kinds)}"
-            if tag not in _NEVER_BY_CLASS:
-                found |= _words_against(f"{a.get('class', '')} {a.get('id', '')}", tag, in_article)
+            kinds = tuple(x for x in a.get("class", "").split() if not _DIGIT.search(x))
             style = a.get("style", "").replace(" ", "").lower()
-            dropped = dropped or a.get("role", "").lower() in _DROP_ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style
-        if attrs.endswith("/") and tag in _INLINE:
-            continue
-        if found and not dropped:
-            mark = marks.add(mark, in_article, bool(found & _DROP_ARTICLES))
-        if tag not in _INLINE:
-            parent, node = node, number.setdefault((node, name), len(up))
-            if node == len(up):
-                up.append(parent)
-                tags.append(tag)
-        in_article = in_article or tag in ("article", "main") and not (found or dropped)
-        stack.append((tag, node, dropped, linked or tag == "a", in_article, mark))
+            gone = gone or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style
+            against = against or a.get("role", "").lower() in _AGAINST_ROLES
+            against = against or tag not in _NEVER_BY_CLASS and _spoken_against(f"{a.get('class', '')} {a.get('id', '')}", tag, inside)
+        if tag not in _INLINE or against:
+            node = tree.child(node, (tag, *kinds), bool(against), inside or tag in ("article", "main"), tree.beside[node] or beside)
+        opened[tag] = opened.get(tag, 0) + 1
+        if tag in _SCOPE:
+            frames.append((len(stack), {}))
+        else:
+            frames[-1][1][tag] = frames[-1][1].get(tag, 0) + 1
+        stack.append((tag, node, gone, linked or tag == "a"))
     flush()
-    gone = marks.gone(out)
-    return [x[:3] for x in out if not gone[x[3]]] or [x[:3] for x in out], up, tags
+    return out, tree
 
 
-def _words_against(said: str, tag: str, in_article: bool) -> set[str]:
-    """The words of class and id that speak against an element. Names like has-sidebar tell of the page and not of the element."""
-    names = [x for x in said.split() if not _LAYOUT.match(x)]
-    plain = re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", " ".join(names))
-    found = _DROP_WORDS.intersection(re.split(r"[^a-z]+", plain.lower()))
-    return found & _DROP_ARTICLES if tag == "article" else found - _TOPICS if in_article else found
+def _spoken_against(said: str, tag: str, inside: bool) -> bool:
+    """Whether class or id names speak against an element. Names like has-sidebar tell of the page and not of the element; inside an article a name must have no word of its own."""
+    for name in said.split():
+        if _ABOUT_PAGE.match(name):
+            continue
+        pieces = {x for x in re.split(r"[^a-z]+", re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", name).lower()) if x}
+        if tag == "article":
+            found = pieces & _AGAINST_ARTICLES
+        elif inside:
+            found = (pieces & _AGAINST_WORDS) - _TOPICS if pieces <= _AGAINST_WORDS | _LAYOUT_WORDS else None
+        else:
+            found = pieces & _AGAINST_WORDS
+        if found:
+            return True
+    return False
 
 
-class _Marks:
-    """Elements that a word speaks against. Index 0 is none; a mark comes after the marks around it."""
+def _smooth(values: list[float]) -> list[float]:
+    """A [1 2 1] filter along the page; the ends repeat."""
+    ext = [values[0], *values, values[-1]]
+    return [(a + 2 * b + c) / 4 for a, b, c in zip(ext, ext[1:], ext[2:], strict=False)]
 
-    def __init__(self):
-        self.up, self.inside, self.apart = [0], [True], [False]
 
-    def add(self, up: int, inside: bool, apart: bool) -> int:
-        """A mark under `up`; inside an article or not; apart if its words name what is never part of an article."""
-        self.up.append(up)
-        self.inside.append(inside)
-        self.apart.append(apart)
-        return len(self.up) - 1
+def ratios(blocks: list[tuple[int, str, int]], path: list[int]) -> dict[int, float]:
+    """Per path the logarithm of its text ratio times its punctuation ratio, smoothed along the page.
 
-    def gone(self, blocks: list[tuple]) -> list[bool]:
-        """Whether the text in each mark goes.
-
-        A word alone drops nothing that holds most of the page's text, or an article or main, unless articles outside all
-        marks have more text. What is apart needs nearly all text, and no such articles.
-        """
-        n = len(self.up)
-        chars, held, outer = [0] * n, [0] * n, [False] * n
-        for m in range(1, n):
-            outer[m] = outer[self.up[m]] or not self.inside[m]
-        for _, text, _, m, in_article in blocks:
-            chars[m] += len(text)
-            if in_article and (outer[m] or not m):
-                held[m] += len(text)
-            elif in_article:
-                held[0] += len(text)
-        free = held[0]
-        for m in range(n - 1, 0, -1):
-            chars[self.up[m]] += chars[m]
-            if self.up[m] and not self.apart[m]:
-                held[self.up[m]] += held[m]
-        out = [False] * n
-        for m in range(1, n):
-            article = held[m] and held[m] >= free and not self.inside[m] and not self.apart[m]
-            share = chars[m] > (_APART_SHARE if self.apart[m] else _MOST) * chars[0] and (self.inside[m] or not (self.apart[m] and free))
-            out[m] = out[self.up[m]] or not (article or share)
-        return out
+    The text ratio is the number of characters outside links per block of the path, the punctuation ratio that of marks.
+    """
+    totals: dict[int, list[float]] = {}  # characters outside links, punctuation, blocks
+    for e, text, links in blocks:
+        t = totals.setdefault(path[e], [0, 0, 0])
+        t[0] += len(text) - links
+        t[1] += len(_PUNCTUATION.findall(text))
+        t[2] += 1
+    fused = {p: math.log1p(min(LONG_TEXT, c / n)) + math.log1p(min(MANY_MARKS, marks / n)) for p, (c, marks, n) in totals.items()}
+    out = dict.fromkeys(totals, 0.0)
+    for (e, _, _), x in zip(blocks, _smooth([fused[path[e]] for e, _, _ in blocks]), strict=True):
+        out[path[e]] += x / totals[path[e]][2]
+    return out
 
 
-def _smooth(values: list[float]) -> list[float]:
-    """A [1 2 1] filter along the page; the ends repeat."""
-    ext = [values[0], *values, values[-1]]
-    return [(a + 2 * b + c) / 4 for a, b, c in zip(ext, ext[1:], ext[2:], strict=False)]
+def block_scores(blocks: list[tuple[int, str, int]], tree: _Tree) -> list[float]:
+    """The score of each block.
+
+    It is the ratio of the block's path, or that of a box around it if that is greater, and the evidence of tags and words. A box has
+    the mean ratio of the text right in it, an article or main that of all its text; what is spoken against in a box doesn't count
+    there. A block of links takes over from an article or its own box only. Headings go with the blocks after them.
+    """
+    ratio = ratios(blocks, tree.path)
+    n, up, tag, against = len(tree.up), tree.up, tree.tag, tree.against
+    box, whole = [0] * n, [-1] * n  # nearest box; nearest article or main
+    for k in range(1, n):
+        box[k] = k if tag[k] in _BOXES or tag[k] in _PAGE_WIDE else box[up[k]]
+        whole[k] = k if tag[k] in ("article", "main") else whole[up[k]]
+    mass, size = [0.0] * n, [0] * n
+    for e, text, _ in blocks:
+        r = ratio[tree.path[e]]
+        for b in (box[e],) if box[e] == whole[e] else (box[e], whole[e]):
+            if b >= 0 and against[b] == against[e]:
+                mass[b] += r * len(text)
+                size[b] += len(text)
+    for k in range(n - 1, 0, -1):  # an article's text is also that of the article or main around it
+        if whole[k] == k and (w := whole[up[k]]) >= 0 and against[w] == against[k]:
+            mass[w] += mass[k]
+            size[w] += size[k]
+    mean = [a / c if c else 0.0 for a, c in zip(mass, size, strict=True)]
+    best, article = mean[:], [0.0] * n  # what a block takes over: from any box, and from articles
+    for k in range(1, n):
+        if box[k] != k:
+            best[k] = best[up[k]]
+        elif tag[k] not in _PAGE_WIDE:
+            apart = tag[box[up[k]]] in _PAGE_WIDE and tag[k] not in _CELLS  # boxes right in the page stand for themselves
+            best[k] = max(mean[k], 0.0 if apart else best[up[k]] - STEP)
+        article[k] = max(mean[k] if tag[k] == "article" else 0.0, article[up[k]])
+    scores = []
+    for e, text, links in blocks:
+        took = best[e]
+        if links >= LINK_SHARE * len(text):
+            took = max(article[e], 0.0 if tag[box[e]] in _PAGE_WIDE else mean[box[e]])
+        scores.append(max(ratio[tree.path[e]], took) + FOR * tree.inside[e] + AGAINST * against[e])
+    after = None
+    for k in range(len(blocks) - 1, -1, -1):
+        e = blocks[k][0]
+        if tag[e] not in _HEADINGS:
+            after = scores[k]
+        elif after is not None and not against[e]:
+            scores[k] = max(scores[k], after - HEADING_STEP)
+    return scores
 
 
 def main_text(page: str | None) -> str:
-    """The text of the content nodes of a page, one line per block; empty for a null page or one without text."""
-    blocks, up, tags = _blocks(page) if page else ([], [], [])
+    """The text of the content nodes of a page, one line per block; empty for a null page or one without text.
+
+    The page's level is the mean score of its text, weighted by length and by the square of what the score is the logarithm of, so that a
+    short article counts more than a long list of comments. Every block at most BELOW under the level is kept. If even the best block lies in a
+    menu, footer, header or the like by its tag, the page has no main text.
+    """
+    blocks, tree = _blocks(page) if page else ([], None)
     if not blocks:
         return ""
-    totals: dict[int, list[float]] = {}  # characters, punctuation, link characters, occurrences
-    for node, text, links in blocks:
-        t = totals.setdefault(node, [0, 0, 0, 0])
-        t[0] += len(text)
-        t[1] += len(_PUNCTUATION.findall(text))
-        t[2] += links
-        t[3] += 1
-    text_ratio = {p: t[0] / t[3] * (1 - t[2] / max(1, t[0])) for p, t in totals.items()}
-    mark_ratio = {p: 1 + t[1] / t[3] for p, t in totals.items()}
-    along = _smooth([text_ratio[p] for p, _, _ in blocks])
-    marks = _smooth([mark_ratio[p] for p, _, _ in blocks])
-    fused: dict[int, float] = {}
-    for (p, _, _), a, b in zip(blocks, along, marks, strict=True):
-        fused[p] = fused.get(p, 0) + a * b / totals[p][3]
-    mean = sum(fused[p] * totals[p][0] for p in totals) / max(1, sum(t[0] for t in totals.values()))
-    chosen = {p for p in totals if fused[p] >= 0.1 * mean and totals[p][2] < _LINK_SHARE * totals[p][0]} or {*totals}
-
-    n = len(up)
-    article, main = [0] * n, [0] * n  # the outermost one around a node, or 0
-    for k in range(1, n):
-        article[k] = article[up[k]] or (k if tags[k] == "article" else 0)
-        main[k] = main[up[k]] or (k if tags[k] == "main" else 0)
-    if any(article[p] or main[p] for p in chosen):
-        # all articles that aren't links only, and of a main around them what is chosen; a main without articles as a whole
-        size: dict[int, list[float]] = {}
-        for p, t in totals.items():
-            if article[p]:
-                s = size.setdefault(article[p], [0, 0])
-                s[0], s[1] = s[0] + t[0], s[1] + t[2]
-        told = {r for r, (chars, linked) in size.items() if linked < _LINK_SHARE * chars} or ({*size} if not any(main[p] for p in chosen) else set())
-        parted = {main[r] for r in told if main[r]}
-
-        def keep(p: int, text: str, links: int) -> bool:
-            if article[p]:
-                return article[p] in told
-            return bool(main[p]) and (main[p] not in parted or p in chosen or tags[p] in _HEADINGS or links < _LINK_SHARE * len(text))
-
-    else:
-        rest: list[set[int]] = [set() for _ in range(n)]  # children of a node with more than headings in them
-        filled = [p in totals and tags[p] not in _HEADINGS for p in range(n)]
-        own = [p in totals for p in range(n)]
-        for k in range(n - 1, 0, -1):
-            if filled[k]:
-                rest[up[k]].add(k)
-                filled[up[k]] = True
-        roots = set()
-        for p in chosen:
-            r = p if tags[p] in _BOXES or not p else up[p]
-            while r and r not in roots and not own[up[r]] and rest[up[r]] <= {r}:
-                r = up[r]  # the element around it adds headings only
-            roots.add(r)
-        whole, part = [False] * n, [0 in roots] * n
-        for k in range(1, n):
-            page_wide = tags[k] in ("html", "body")
-            whole[k] = whole[up[k]] or k in roots and not page_wide
-            part[k] = part[up[k]] or k in roots and page_wide
-
-        def keep(p: int, text: str, links: int) -> bool:
-            return whole[p] or part[p] and (links < _LINK_SHARE * len(text) or tags[p] in _PROSE)
-
-    return "\n".join(text for p, text, links in blocks if keep(p, text, links))
+    scores = block_scores(blocks, tree)
+    top = max(scores)
+    if tree.beside[blocks[scores.index(top)][0]]:
+        return ""
+    weights = [len(text) * math.exp(2 * (s - top)) for (_, text, _), s in zip(blocks, scores, strict=True)]
+    level = sum(w * s for w, s in zip(weights, scores, strict=True)) / sum(weights)
+    return "\n".join(text for (_, text, _), s in zip(blocks, scores, strict=True) if s >= level - BELOW)
 
 
 def extract(df: DataFrame, html_col: str = "html", out_col: str = "text") -> DataFrame:
-    """df with the main text of each page. Rows stay in their partitions; other columns pass through."""
+    """df with the main text of each page in out_col, which replaces a column of that name in any case of letters.
+
+    Rows stay in their partitions, repeated rows too; other columns pass through. A null or empty page, or one without text, has an empty text.
+    Very long and deeply nested pages take time in proportion to their length. An empty table gives an empty one.
+    """
     bound_batches(df.sparkSession)
 
     @F.arrow_udf("string")
@@ -304,7 +342,8 @@ def extract(df: DataFrame, html_col: str = "html", out_col: str = "text") -> Dat
         release()
         return out
 
-    return df.withColumn(out_col, run(F.col(html_col).cast("string")))
+    kept = [c for c in df.columns if c.lower() != out_col.lower()]
+    return df.select(*[F.col(f"`{c}`") for c in kept], run(F.col(html_col).cast("string")).alias(out_col))
 
 
 def op9_html_extraction(spark, sf_dir: str) -> DataFrame:
