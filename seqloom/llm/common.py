@@ -35,6 +35,25 @@ def word_count(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
+def others(df: DataFrame, *added: str) -> list[str]:
+    """The names of df's columns besides those that added ones replace; names that differ in case only are the same."""
+    gone = {a.lower() for a in added}
+    return [c for c in df.columns if c.lower() not in gone]
+
+
+def col(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A name for a helper column that df has no column of."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
