@@ -9,12 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, release
+from .common import bound_batches, col, fresh, others, release
 
 UND = "und"
 BITS = 15
 ORDERS = (3, 4)
 DIM = 16
+#: Bytes of one bucket of a training example: its number and its weight.
+EXAMPLE_BYTES = 6
 
 _LETTERS = re.compile(r"[^\W\d_]")
 _TO_SPACE = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
@@ -101,48 +103,60 @@ def fold(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % 4
 
 
-def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = 1200, most: int = 24_000) -> dict | None:
-    """A model from the rows of df whose text and language are not null; None if there are none.
+def held_out(id_col: Column) -> Column:
+    """Whether a row is in the fold that nothing is learned from; a null id is not."""
+    return F.coalesce(fold(id_col) == 2, F.lit(False))
 
-    It is fitted on a bounded sample: about `per_language` rows of each language by hash of the text, and `most`
-    in all. The sample is taken by thresholds from one count per language, and the texts are turned into
-    weighted buckets on the executors.
+
+#: Rows of a language that are learned from, about, and bytes of training examples in all, at most about.
+PER_LANGUAGE, SAMPLE_BYTES = 1200, 128 << 20
+
+
+def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, most_bytes: int = SAMPLE_BYTES) -> dict | None:
+    """A model of all languages in df's rows whose text and language are not null; None if there are none.
+
+    It is fitted on a sample that is bounded by rows, about `per_language` of each language, and by bytes, `most_bytes` shared
+    evenly by the languages. A language's rows are taken by a threshold on the hash of the whole text, which follows from its number of
+    rows and the bytes that their buckets may take, so that reruns agree. Whole texts are turned into weighted buckets on the executors;
+    these come to the driver. The table of languages has one row each, as the model has one column.
     """
-    bound_batches(df.sparkSession)
-    rows = df.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most // 50).collect()}
+    spark = df.sparkSession
+    bound_batches(spark)
+    rows = df.where(col(text_col).isNotNull() & col(lang_col).isNotNull()).select(col(text_col).cast("string").alias("text"), col(lang_col).cast("string").alias("lang"))
+    bound = F.least(F.octet_length("text") * len(ORDERS), F.lit(1 << BITS)) * EXAMPLE_BYTES
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(bound.cast("double")).alias("bytes")).orderBy("lang").collect()
     if not counts:
         return None
-    languages = sorted(counts)
-    share = per_language if len(languages) * per_language <= most else most // len(languages)
-    picks = F.lit(False)
-    for lang, n in counts.items():
-        picks = picks | ((F.col("lang") == lang) & (F.col("h") < int(min(1.0, share / n) * 1_000_000)))
-    number = {x: k for k, x in enumerate(languages)}
+    languages = [r["lang"] for r in counts]
+    share = most_bytes / len(languages)
+    picks = [(r["lang"], k, int(min(1.0, per_language / r["n"], share / max(r["bytes"], 1)) * (1 << 40))) for k, r in enumerate(counts)]
     schema = pa.schema([("b", pa.binary()), ("w", pa.binary()), ("label", pa.int32()), ("h", pa.int64())])
 
     def featurise(batches):
         for batch in batches:
             got = []
-            for text, lang, h in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for text, label, h in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 grams = subwords(text)
                 if len(grams) and has_letter(text):
                     b, c = np.unique(grams, return_counts=True)
-                    got.append((b.astype(np.uint32).tobytes(), (c / c.sum()).astype(np.float32).tobytes(), number[lang], h))
+                    got.append((b.astype(np.uint16).tobytes(), (c / c.sum()).astype(np.float32).tobytes(), label, h))
             yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], f.type) for k, f in enumerate(schema)], schema=schema)
 
-    sample = rows.withColumn("h", F.pmod(F.xxhash64("text"), F.lit(1_000_000))).where(picks).select("text", "lang", F.xxhash64("text").alias("h"))
-    got = sample.mapInArrow(featurise, "b binary, w binary, label int, h long").limit(most).collect()
+    least = spark.createDataFrame(picks, "lang string, label int, below long")
+    hashed = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(least), "lang")
+    sample = hashed.where(F.pmod("h", F.lit(1 << 40)) < F.col("below")).select("text", "label", "h")
+    got = sample.mapInArrow(featurise, "b binary, w binary, label int, h long").collect()
     got.sort(key=lambda r: (r["h"], r["label"]))
-    examples = [(np.frombuffer(r["b"], np.uint32), np.frombuffer(r["w"], np.float32), r["label"]) for r in got]
+    examples = [(np.frombuffer(r["b"], np.uint16), np.frombuffer(r["w"], np.float32), r["label"]) for r in got]
     return train(examples, languages) if examples else None
 
 
 def identify(df: DataFrame, model: dict | None, text_col: str = "text") -> DataFrame:
     """df with lang_pred, score and accepted (false where the calibrated probability is below the rejection limit).
 
-    Null texts and texts without letters are `und` with score 0, as is everything if the model is None. Other
-    columns pass through; rows stay in their partitions. The model's size is fixed by its number of buckets.
+    Null texts and texts without letters are `und` with score 0, as is everything if the model is None. Texts count whole, however long; equal
+    texts have equal results, so rows that repeat do too. Columns with the names of added ones, in any case of letters, are replaced; others
+    pass through, nulls included. Rows stay in their partitions. The model's size is its number of buckets times that of languages. An empty table gives an empty one.
     """
     bound_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
@@ -155,11 +169,12 @@ def identify(df: DataFrame, model: dict | None, text_col: str = "text") -> DataF
         return pa.StructArray.from_arrays([pa.array([g[k] for g in got], t) for k, t in enumerate(kinds)], ["lang_pred", "score", "accepted"])
 
     added = ["lang_pred", "score", "accepted"]
-    kept = [c for c in df.columns if c not in added]
-    return df.select(*kept, run(F.col(text_col).cast("string")).alias("__lang")).select(*kept, *[F.col(f"__lang.{c}").alias(c) for c in added])
+    one = fresh(df, "__lang")
+    kept = others(df, *added)
+    return df.select(*map(col, kept), run(col(text_col).cast("string")).alias(one)).select(*map(col, kept), *[F.col(one)[c].alias(c) for c in added])
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    model = learn(docs.where(fold(F.col("doc_id")) != 2))
-    return identify(docs.select("doc_id", "text", (fold(F.col("doc_id")) == 2).alias("held_out")), model).drop("text")
+    model = learn(docs.where(~held_out(F.col("doc_id"))))
+    return identify(docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")), model).drop("text")

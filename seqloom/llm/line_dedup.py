@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import re
-from operator import eq
+from array import array
+from itertools import combinations
+from math import ceil
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, release, settled, written
+from .common import bound_batches, col, fresh, others, release, settled, written
 
 #: Words from which a line has a template, documents from which a template recurs, and leading words that a path through the tree has.
 WORDS, DOCUMENTS, DEPTH = 5, 3, 3
@@ -18,6 +21,8 @@ WORDS, DOCUMENTS, DEPTH = 5, 3, 3
 LONG, LONG_DOCUMENTS, SHORT_DOCUMENTS = 20, 2, 10
 #: Share of words, place by place, that a line has in common with the first line of its template.
 SIMILAR = 0.75
+#: Words that a key of a template should span at least.
+KEY_WORDS = 3
 FIELD = b"<*>"
 
 _DIGIT = re.compile(rb"[0-9]")
@@ -49,31 +54,44 @@ def lines_of(text: str | None) -> list[bytes]:
 class Leaf:
     """The templates under one path of the tree: each is its first line and joins lines that are SIMILAR to it.
 
-    A line that differs in at most k of n places has at least one of k + 1 blocks of places in common with it, so
-    templates are found by their blocks and not by trying all.
+    All lines of a leaf have the leading words in common. If the places behind these are cut into k + s blocks, a line that differs in
+    at most k places has s blocks or more in common with its template, so templates are found by combinations of s blocks. s is the
+    least number for which a combination spans KEY_WORDS words. In short lines a block is one place, and then a key has one template at most.
     """
 
     def __init__(self, n: int):
-        blocks = min(n, int(n * (1 - SIMILAR)) + 1)
-        self.cuts = [(n * k // blocks, n * (k + 1) // blocks) for k in range(blocks)]
+        rest, off = n - DEPTH, n - ceil(n * SIMILAR)
+        s = next(s for s in range(1, rest - off + 1) if s * rest >= KEY_WORDS * (off + s) or s == rest - off)
+        blocks = off + s
+        self.cuts = [(DEPTH + rest * k // blocks, DEPTH + rest * (k + 1) // blocks) for k in range(blocks)]
+        self.combinations = [*enumerate(combinations(range(blocks), s))]
         self.least = n * SIMILAR
-        self.lines: list[tuple[list[str], int]] = []
-        self.by_block: dict[tuple, list[int]] = {}
+        self.number: dict[str, int] = {}
+        self.rows = np.empty((16, n), np.int32)
+        self.keys: list[int] = []
+        self.by_blocks: dict[tuple, array] = {}
 
     def template(self, tokens: list[str], key: int) -> int:
         """The key of the line's template; among several similar ones the most similar, then the first."""
-        blocks = [(a, *tokens[a:b]) for a, b in self.cuts]
-        best, score = None, 0
-        for k in {k for block in blocks for k in self.by_block.get(block, ())}:
-            same = sum(map(eq, tokens, self.lines[k][0]))
-            if same >= self.least and (same > score or same == score and k < best):
-                best, score = k, same
-        if best is None:
-            best = len(self.lines)
-            self.lines.append((tokens, key))
-            for block in blocks:
-                self.by_block.setdefault(block, []).append(best)
-        return self.lines[best][1]
+        number = self.number
+        row = np.array([number.setdefault(t, len(number)) for t in tokens], np.int32)
+        blocks = [hash((*tokens[a:b],)) for a, b in self.cuts]
+        places = [(c, *[blocks[k] for k in chosen]) for c, chosen in self.combinations]
+        met = [x for p in places if (x := self.by_blocks.get(p))]
+        if met:
+            near = np.concatenate([np.frombuffer(x, np.int32) for x in met]) if len(met) > 1 else np.frombuffer(met[0], np.int32)
+            same = (self.rows[near] == row).sum(axis=1)
+            if (most := same.max()) >= self.least:
+                return self.keys[near[same == most].min()]
+            del near  # a view of an array that must grow
+        at = len(self.keys)
+        if at == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
+        self.rows[at] = row
+        self.keys.append(key)
+        for p in places:
+            self.by_blocks.setdefault(p, array("i")).append(at)
+        return key
 
 
 def documents_of(words: int) -> int:
@@ -123,7 +141,7 @@ def _keys(batches):
             own = {line_key(m) for x in lines_of(text) if (m := masked(x)) is not None}
             ids += [i] * len(own)
             keys += own
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64())], ["doc_id", "key"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array(keys, pa.int64())], ["doc_id", "key"])
 
 
 def recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -136,13 +154,14 @@ def recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     but the document with the smallest id lose the lines.
     """
     bound_batches(df.sparkSession)
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = df.select(col(id_col).alias("doc_id"), col(text_col).cast("string").alias("text"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
     distinct = docs.select("text").mapInArrow(_distinct, "path long, key long, line string, docs long").groupBy("path", "key", "line").agg(F.sum("docs").alias("docs"))
     parsed = distinct.repartition("path").sortWithinPartitions("path", "line").select("path", "key", "line", "docs").mapInArrow(_parse, "key long, template long, docs long, least byte")
     parsed = written(parsed, "line-templates")
     often = parsed.groupBy("template", "least").agg(F.sum("docs").alias("docs")).where("docs >= least").select("template")
     some = settled(parsed.join(often, "template").select("key", "template", "least"))
-    held = written(docs.mapInArrow(_keys, "doc_id long, key long").join(some, "key"), "template-lines")
+    held = written(docs.mapInArrow(_keys, f"doc_id {kind}, key long").join(some, "key"), "template-lines")
     spread = held.select("template", "least", "doc_id").distinct().groupBy("template", "least").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first"))
     # settled, so that the join's sides are plain exchanges and a hot template's rows can be split
     spread = settled(spread.where("docs >= least").select("template", "first"))
@@ -155,12 +174,13 @@ def drop_recurring(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Lines are split at line feeds and the others stay as they are, in order. Documents stay, empty or not. A null text has no
     lines and stays null. Rows that share an id are one document: they don't make a line recur, and the same lines are dropped
-    from both. Rows with a null id are one document, too, which is never the first. Columns of df with the names of added ones are replaced. An
-    empty table gives an empty one.
+    from both. Rows with a null id are one document, too, which is never the first. Ids may have any type that can be ordered. Columns of df with the names of
+    added ones, in any case of letters, are replaced. An empty table gives an empty one.
     """
-    kept = [c for c in df.columns if c not in ("n_lines", "n_dropped")]
-    per_doc = recurring_lines(df, id_col, text_col).groupBy("doc_id").agg(F.collect_set("key").alias("__drop")).withColumnRenamed("doc_id", "__id")
-    rows = df.select(*kept).join(per_doc, F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left")
+    kept = others(df, "n_lines", "n_dropped")
+    gone, own, done = (fresh(df, x) for x in ("__drop", "__id", "__clean"))
+    per_doc = recurring_lines(df, id_col, text_col).groupBy(F.col("doc_id").alias(own)).agg(F.collect_set("key").alias(gone))
+    rows = df.select(*map(col, kept)).join(per_doc, col(id_col).eqNullSafe(F.col(own)), "left")
 
     @F.arrow_udf("struct<text string, n long, gone long>")
     def clean(texts: pa.Array, drops: pa.Array) -> pa.Array:
@@ -177,8 +197,8 @@ def drop_recurring(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         kinds = (pa.string(), pa.int64(), pa.int64())
         return pa.StructArray.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["text", "n", "gone"])
 
-    done = rows.withColumn("__c", clean(F.col(text_col).cast("string"), F.col("__drop")))
-    return done.select(*[F.col("__c.text").alias(c) if c == text_col else F.col(c) for c in kept], F.col("__c.n").alias("n_lines"), F.col("__c.gone").alias("n_dropped"))
+    rows = rows.withColumn(done, clean(col(text_col).cast("string"), F.col(gone)))
+    return rows.select(*[F.col(done)["text"].alias(c) if c == text_col else col(c) for c in kept], F.col(done)["n"].alias("n_lines"), F.col(done)["gone"].alias("n_dropped"))
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
