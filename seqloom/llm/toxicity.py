@@ -5,19 +5,23 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, release, settled
-from .langid import fold
+from .common import bound_batches, release
+from .langid import held_out
 
 #: Labelled rows that lexicon and weights are learned from, at most: those with the smallest hash of their id.
 LABELLED_ROWS = 20_000
-#: Entries of the lexicon at most, the best supported first.
-LEXICON = 2_000
+#: Odds of a term among toxic documents against clean ones that each half of the labelled rows must show by itself.
+CONFIRMED = 4
+#: Share of the toxic documents that a term needs, and of those without a strong term that a weak one does.
+TERM_SHARE, REST_SHARE = 0.02, 0.2
+#: Lengths of stems.
 PREFIXES = range(3, 9)
 #: Least length of a word, and of a stem, that may be met with one edit.
 FUZZY_WORD, FUZZY_STEM = 4, 4
@@ -35,11 +39,13 @@ _ADDRESS = set("you your yours yourself u ur du dich dir dein deine ihr euch tu
 
 EXACT, FUZZY, WEAK = 1, 2, 3
 FEATURES = 4
-#: What a term met with an edit counts, and how many words that are near a term but stand in clean documents are kept.
-NEAR, NEIGHBOURS = 0.8, 5_000
+#: What each further term of a text, other than the first, adds to what all count: one chance hit is common, several are not.
+APART = 0.25
+#: What a term met with an edit counts.
+NEAR = 0.8
 #: Clean documents where an edit costs no more, and share of the rate among toxic ones, from which a word near a term counts as an ordinary word.
 NEIGHBOUR_DOCUMENTS, NEIGHBOUR_RATE = 2, 0.5
-#: Ordinary words near a term, above which an edit of it tells nothing.
+#: Ordinary words near a term, above which an edit of it tells nothing, and near all terms of equal first letters, from which an edit counts half.
 CROWD = 20
 
 
@@ -187,7 +193,7 @@ class Scorer:
         """Logarithms of the abuse found, quoted, and by weak terms, and the share of hits among words.
 
         A hit counts 1, with an edit NEAR, or less for a short or rare term. Inside quotation marks, or with a reporting word near it, it counts as quoted unless the
-        window also addresses someone; a second hit, an exclamation or an address in the window raises it.
+        window also addresses someone; a second hit, an exclamation or an address in the window raises it, and so does every other term in the text.
         """
         if not text:
             return [0.0] * FEATURES
@@ -220,7 +226,7 @@ class Scorer:
                 inside.add(k)
             if marks % 2:
                 opened = not opened
-        sums = [0.0, 0.0, 0.0]
+        sums, apart = [0.0, 0.0, 0.0], len({tokens[k].strip(_EDGE) for k in at})
         for k in at:
             near = [x.strip(_EDGE) for x in tokens[max(0, k - WINDOW) : k + WINDOW + 1]]
             addressed = not _ADDRESS.isdisjoint(near)
@@ -229,7 +235,7 @@ class Scorer:
             weight = 1.0 + 0.25 * addressed + 0.25 * others + 0.1 * ("!" in tokens[k])
             kind, counts = found[tokens[k]]
             sums[1 if quoted else 2 if kind == WEAK else 0] += weight * counts
-        return [*map(math.log1p, sums), min(1.0, 10 * len(at) / len(tokens))]
+        return [*(math.log1p(x * (1 + APART * (apart - 1))) for x in sums), min(1.0, 10 * len(at) / len(tokens))]
 
     def score(self, text: str | None) -> float:
         z = self.model["bias"] + sum(w * x for w, x in zip(self.model["weights"], self.features(text), strict=True))
@@ -239,7 +245,7 @@ class Scorer:
 def _terms(text: str) -> set[str]:
     """W:word and S:prefix for the words of a text."""
     words = {w for t in set(text.lower().split()) if (w := t.strip(_EDGE))}
-    out = {"W:" + w for w in words if 3 <= len(w) <= 40}
+    out = {"W:" + w for w in words}
     out.update("S:" + w[:n] for w in words for n in PREFIXES if n < len(w))
     return out
 
@@ -256,23 +262,41 @@ def _narrow(good: dict[str, int]) -> tuple[list[str], list[str]]:
     for s in sorted((s for s, n in stems.items() if longer.get(s, 0) < 0.9 * n), key=lambda s: (len(s), s)):
         if not any(s.startswith(k) for k in kept):
             kept.append(s)
-    best = lambda xs, of: sorted(xs, key=lambda x: (-of[x], x))[:LEXICON]
+    best = lambda xs, of: sorted(xs, key=lambda x: (-of[x], x))
     return best([w for w in words if not any(w.startswith(s) for s in kept)], words), best(kept, stems)
 
 
-def choose_lexicon(counts: list[tuple[str, int, int]], n_toxic: int, n_clean: int) -> dict[str, list[str]]:
-    """Terms that mark toxic documents, from (term, toxic documents, clean documents).
+def _odds(pos: int, neg: int, n_toxic: int, n_clean: int) -> float:
+    return ((pos + 0.5) / (n_toxic + 1)) / ((neg + 0.5) / (n_clean + 1))
 
-    A term needs 3 toxic documents and 2 % of them. It is strong if at least four in five of its documents are toxic
-    and its smoothed odds are 20 times those of clean documents, and weak with one in two and 8 times. Strong and
-    weak terms of four letters or more may be met with an edit; `near` has what they count then, less for short and rare
-    ones, as these are near too many other words.
+
+def _marking(counts: list[tuple], n_toxic: int, n_clean: int, share: float, level: bool = True) -> tuple[dict[str, int], dict[str, int]]:
+    """(strong, weak) terms with their toxic documents, from (term, toxic documents, clean documents) for all rows and, if more follow, one half of them.
+
+    A term needs 3 toxic documents and a share of them, so that the number of terms is bounded by that of a toxic document divided by the
+    share. It is strong if at least four in five of its documents are toxic and its smoothed odds are 20 times those of clean documents, and weak
+    with 8 times, and one in two if `level`. Each half of the rows must show CONFIRMED times the odds.
     """
     strong, weak = {}, {}
-    for term, pos, neg in counts:
-        odds = ((pos + 0.5) / (n_toxic + 1)) / ((neg + 0.5) / (n_clean + 1))
-        if pos >= max(3, 0.02 * n_toxic) and odds >= 8 and pos >= neg:
-            (strong if odds >= 20 and pos >= 4 * neg else weak)[term] = pos
+    for term, pos, neg, *half in counts:
+        if pos < max(3, share * n_toxic) or level and pos < neg or (odds := _odds(pos, neg, n_toxic, n_clean)) < 8:
+            continue
+        if half and any(_odds(p, n, n_toxic / 2, n_clean / 2) < CONFIRMED for p, n in (half, (pos - half[0], neg - half[1]))):
+            continue
+        (strong if odds >= 20 and pos >= 4 * neg else weak)[term] = pos
+    return strong, weak
+
+
+def choose_lexicon(counts: list[tuple], n_toxic: int, n_clean: int, rest: tuple[list[tuple], int, int] | None = None) -> dict[str, list[str]]:
+    """Terms that mark toxic documents. With `rest`, the counts in documents without a strong term, weak terms are those that REST_SHARE of the toxic ones among these have.
+
+    Strong and weak terms of four letters or more may be met with an edit; `near` has what they count then, less for short and rare
+    ones, as these are near too many other words.
+    """
+    strong, weak = _marking(counts, n_toxic, n_clean, TERM_SHARE)
+    if rest is not None:
+        more, weak = _marking(*rest, REST_SHARE, False)
+        weak = {t: n for t, n in {**more, **weak}.items() if t not in strong}
     words, stems = _narrow(strong)
     weak_words, weak_stems = _narrow(weak)
     near: dict[str, float] = {}
@@ -304,8 +328,8 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = LABELLED_ROWS) -> dict
 
     At most `most` labelled ids are used, those with the smallest hash; their table is so bounded and is sent to the
     executors, where the texts are turned into term counts and features. An id that is labelled twice is
-    toxic if any label says so; null labels and null texts are left out. Without toxic examples the lexicon
-    is empty and every score is the same low value.
+    toxic if any label says so; null labels and null texts are left out, and so are rows without an id. Other columns are not looked at, whatever
+    their names. Without toxic examples the lexicon is empty and every score is the same low value.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -316,28 +340,31 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = LABELLED_ROWS) -> dict
     )
     sample = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(ids), "doc_id")
 
-    def count(batches):
-        seen, sizes = {}, [0, 0]
-        for batch in batches:
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                sizes[toxic > 0] += 1
-                seen.setdefault(toxic > 0, Counter()).update(_terms(text))
-        pos, neg = seen.get(True, {}), seen.get(False, {})
-        terms = [*{**pos, **neg}]
-        yield pa.RecordBatch.from_pydict(
-            {
-                "term": ["", *terms],
-                "pos": pa.array([sizes[1], *[pos.get(t, 0) for t in terms]], pa.int64()),
-                "neg": pa.array([sizes[0], *[neg.get(t, 0) for t in terms]], pa.int64()),
-            }
-        )
-
-    rows = (
-        sample.mapInArrow(count, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-        .where((F.col("term") == "") | (F.col("pos") >= 3) & (F.col("pos") >= F.col("neg"))).collect()
-    )
-    n_neg, n_pos = next(((r["neg"], r["pos"]) for r in rows if r["term"] == ""), (0, 0))
-    lexicon = choose_lexicon([(r["term"], r["pos"], r["neg"]) for r in rows if r["term"]], n_pos, n_neg)
+    def counting(strong: dict | None):
+        def count(batches):
+            scorer = None if strong is None else Scorer(strong)
+            seen: dict[tuple, Counter] = {}
+            for batch in batches:
+                for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+                    if scorer is not None and any(scorer.lexicon.match(w) == EXACT for t in set(text.lower().split()) if (w := t.strip(_EDGE))):
+                        continue
+                    seen.setdefault((toxic > 0, crc32(text.encode("utf-8", "replace")) & 1), Counter()).update({"", *_terms(text)})
+            kinds = [seen.get(k, {}) for k in ((True, 0), (True, 1), (False, 0), (False, 1))]
+            terms = [*{t: 0 for k in kinds for t in k}]
+            p0, p1, n0, n1 = (np.array([k.get(t, 0) for t in terms], np.int64) for k in kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *map(pa.array, (p0 + p1, n0 + n1, p0, n0))], ["term", *sums])
+
+        sums = ["pos", "neg", "pos_half", "neg_half"]
+        found = sample.mapInArrow(count, "term string, " + ", ".join(f"{c} long" for c in sums)).groupBy("term").agg(*[F.sum(c).alias(c) for c in sums])
+        rows = found.where((F.col("term") == "") | (F.col("pos") >= 3) & (20 * F.col("pos") >= F.col("neg"))).collect()
+        n_pos, n_neg = next(((r["pos"], r["neg"]) for r in rows if r["term"] == ""), (0, 0))
+        return [tuple(r) for r in rows if r["term"]], n_pos, n_neg
+
+    counts, n_pos, n_neg = counting(None)
+    lexicon = choose_lexicon(counts, n_pos, n_neg)
+    # weak terms are looked for where no strong one stands, as beside strong ones anything is as toxic
+    strong = {**lexicon, "weak_words": [], "weak_stems": [], "fuzzy": [], "weak_fuzzy": [], "neighbours": []}
+    lexicon = choose_lexicon(counts, n_pos, n_neg, counting(strong)) if lexicon["words"] or lexicon["stems"] else lexicon
     lexicon["neighbours"] = []
     model = {**lexicon, "bias": -3.0, "weights": [2.0, 0.4, 1.0, 1.0]}
     if not n_pos or not n_neg:
@@ -354,15 +381,21 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = LABELLED_ROWS) -> dict
 
     # ordinary words that happen to be one edit from a term: those that are about as common in clean documents as in toxic ones,
     # and in more than one of them unless the term is short or rare; a term in a crowd of such words is met as it is written only
-    ordinary = settled(
+    ordinary = (
         sample.mapInArrow(near, "word string, term string, counts double, pos long, neg long").groupBy("word", "term", "counts").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
         .where((F.col("neg") >= F.when(F.col("counts") < NEAR, 1).otherwise(NEIGHBOUR_DOCUMENTS)) & (F.col("neg") / n_neg >= NEIGHBOUR_RATE * F.col("pos") / n_pos))
     )
-    crowded = [r["term"] for r in ordinary.groupBy("term").count().where(F.col("count") > CROWD).collect()]
+    # their number is bounded by the words of the labelled rows
+    ordinary = ordinary.orderBy("word", "term").collect()
+    crowd, family = Counter(r["term"] for r in ordinary), {}
+    for r in ordinary:
+        family.setdefault(r["term"][: PREFIXES.start], set()).add(r["word"])
+    crowded = {t for t, n in crowd.items() if n > CROWD}
     for kind in ("fuzzy", "weak_fuzzy"):
         lexicon[kind] = model[kind] = [x for x in lexicon[kind] if x not in crowded]
-    rows = ordinary.where(~F.col("term").isin(crowded)).orderBy(F.desc("neg"), "word").limit(NEIGHBOURS).collect()
-    lexicon["neighbours"] = model["neighbours"] = [r["word"] for r in rows]
+    for x in lexicon["near"]:  # the more ordinary words there are near terms of its kind, the more there are that no labelled row has
+        lexicon["near"][x] /= 1 + len(family.get(x[: PREFIXES.start], ())) / CROWD
+    lexicon["neighbours"] = model["neighbours"] = sorted({r["word"] for r in ordinary if r["term"] not in crowded})
 
     def featurise(batches):
         scorer = Scorer(model)
@@ -380,7 +413,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = LABELLED_ROWS) -> dict
 
 
 def score(model: dict, spark, text: Column) -> Column:
-    """The score, 0 to 1, of each whole text; a null or empty text has the score of a text without hits. The model is bounded by LEXICON."""
+    """The score, 0 to 1, of each whole text; a null or empty text has the score of a text without hits. Equal texts have equal scores. The model is bounded by the labelled rows."""
     bound_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
@@ -403,10 +436,10 @@ def model_of(spark, sf_dir: str) -> dict:
     """The model that the query and the pipeline use: learned from the labelled documents outside the held-out fold."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    return learn(docs.where(fold(F.col("doc_id")) != 2), labels.where(fold(F.col("doc_id")) != 2))
+    return learn(docs.where(~held_out(F.col("doc_id"))), labels.where(~held_out(F.col("doc_id"))))
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    scored = docs.select("doc_id", (fold(F.col("doc_id")) == 2).alias("held_out"), score(model_of(spark, sf_dir), spark, F.col("text")).alias("score"))
+    scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score(model_of(spark, sf_dir), spark, F.col("text")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
