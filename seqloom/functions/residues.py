@@ -73,27 +73,49 @@ def hash_kmer(word: Column, seed_: Column) -> Column:
     return s.bitwiseXOR(right(s, 14))
 
 
+#: Bits of a long that a row of the alignment's table uses, so that two words and a carry add up without overflow.
+ROW_BITS = 62
+
+
 def lcs_short(a: Column, b: Column) -> Column:
-    """The LCS of two sequences given as residue_hex, the first of 62 residues at most, within Catalyst: a row of the table is the bits of a long."""
-
-    def of(x: Column, y: Column) -> Column:
-        n = F.length(x)
-        bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k)
-        full = bit(n) - 1
-        digits = F.filter(F.split(x, ""), lambda c: c != "")
-        mask = lambda c: F.aggregate(
-            F.transform(digits, lambda d, k: F.when((d == c) & (d != "0"), bit(k)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, v: s + v
+    """The LCS of two sequences given as residue_hex, of any length, within Catalyst.
+
+    A row of the table is an array of words of ROW_BITS bits, with a carry from word to word. The time is the product of the lengths divided by
+    ROW_BITS; as each step makes a new array, long sequences are better aligned by operators.align.
+    """
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k)
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda s, v: s + v)
+    letters = lambda x: F.filter(F.split(x, ""), lambda c: c != "")
+
+    def of(p: Column) -> Column:
+        x, y = p["x"], p["y"]
+        words = F.sequence(F.lit(0), F.floor((F.length(x) - 1) / ROW_BITS).cast("int"))
+        part = lambda w: letters(F.substring(x, w * ROW_BITS + 1, F.lit(ROW_BITS)))
+        hits = lambda code: F.transform(
+            words, lambda w: total(F.transform(part(w), lambda d, k: F.when((d == code) & (d != "0"), bit(k)).otherwise(F.lit(0).cast("long"))))
         )
+        rows = F.struct(F.transform(words, lambda w: bit(F.size(part(w))) - 1).alias("full"), F.map_from_arrays(F.array_distinct(letters(y)), F.transform(F.array_distinct(letters(y)), hits)).alias("masks"))
+
+        def run(r: Column) -> Column:
+            def step(row: Column, c: Column) -> Column:
+                mask = F.element_at(r["masks"], c)
+
+                def word(acc: Column, w: Column) -> Column:
+                    v, full = F.get(row, w), F.get(r["full"], w)
+                    hit = v.bitwiseAND(F.get(mask, w))
+                    added = v + hit + acc["carry"]
+                    return F.struct(F.when(added > full, F.lit(1)).otherwise(F.lit(0)).cast("long").alias("carry"), F.concat(acc["out"], F.array(added.bitwiseOR(v - hit).bitwiseAND(full))).alias("out"))
+
+                return F.aggregate(words, F.struct(F.lit(0).cast("long").alias("carry"), F.array().cast("array<bigint>").alias("out")), word)["out"]
 
-        def step(row: Column, m: Column) -> Column:
-            hit = row.bitwiseAND(m)
-            return (row + hit).bitwiseOR(row - hit).bitwiseAND(full)
+            last = F.aggregate(letters(y), r["full"], step)
+            return (F.length(x) - total(F.transform(last, lambda v: F.bit_count(v).cast("long")))).cast("int")
 
-        masks = F.transform(F.filter(F.split(y, ""), lambda c: c != ""), mask)
-        return n - F.bit_count(F.aggregate(masks, full, step))
+        return F.element_at(F.transform(F.array(rows), run), 1)
 
     pair = F.array(F.struct(a.alias("x"), b.alias("y")))
-    return F.element_at(F.transform(pair, lambda p: of(p["x"], p["y"])), 1)
+    empty = (F.length(a) == 0) | (F.length(b) == 0)
+    return F.when(empty, F.lit(0)).otherwise(F.element_at(F.transform(pair, of), 1))
 
 
 def codes_of(seq: str | bytes) -> np.ndarray:

@@ -37,7 +37,8 @@ def compare_pairs(cand: DataFrame, parent: DataFrame) -> DataFrame:
     return cand.where("rep <> tar").join(first, "tar", "left").where(F.col("hit_band").isNull() | (F.col("band") <= F.col("hit_band"))).agg(F.count("*").alias("compare_pairs"))
 
 
-def pending(cand: DataFrame, parent: DataFrame, band: int) -> DataFrame:
-    """The candidates of a band whose targets have no hit in an earlier one: what a round over that band has left to align."""
-    done = parent.where(F.col("band") < band).select("tar")
-    return cand.where((F.col("band") == band) & (F.col("rep") != F.col("tar"))).join(done, "tar", "left_anti")
+def pending(cand: DataFrame, parent: DataFrame, band: int | None = None) -> DataFrame:
+    """The candidates whose targets have no hit in an earlier band: what a round over their band, or over the given one, has left to align."""
+    done = parent.select("tar", F.col("band").alias("done"))
+    open_ = cand.where(F.col("rep") != F.col("tar")) if band is None else cand.where((F.col("band") == band) & (F.col("rep") != F.col("tar")))
+    return open_.join(done, (open_["tar"] == done["tar"]) & (F.col("done") < F.col("band")), "left_anti")

@@ -16,6 +16,17 @@ def cluster_sizes(assigned: DataFrame) -> DataFrame:
     return assigned.groupBy("cluster_id").agg(F.min("idx").alias("representative"), F.count("*").alias("size"))
 
 
+def cluster_count(assigned: DataFrame) -> DataFrame:
+    """One row: the number of clusters. A first-hit cluster is named by its root, so its roots are counted and nothing is grouped."""
+    return assigned.agg(F.count_if(F.col("idx") == F.col("cluster_id")).alias("clusters"))
+
+
+def run_statistics(seqs: DataFrame, compared: DataFrame, hits: DataFrame, assigned: DataFrame) -> DataFrame:
+    """One row about a run: valid sequences, the longest and shortest, pairs compared, edges found, and clusters. compared has one row (compare_pairs)."""
+    stats = sequence_stats(seqs).select("valid", "longest", "shortest")
+    return stats.withColumns({"compare_pairs": compared.scalar(), "edges": hits.agg(F.count("*")).scalar(), "clusters": cluster_count(assigned).scalar()})
+
+
 def report_lines(assigned: DataFrame, seqs: DataFrame) -> DataFrame:
     """(representative, idx, part, line): the report's lines; in the order of these columns they make the text.
 

@@ -1,7 +1,8 @@
 """The registered queries of the sequence engine and their SQL.
 
 Sequences are whole documents, projected to residues. Graph steps work on the suppliers and parts of line items.
-Queries that align, and those that follow from alignments, have no SQL: the tests hold them against brute force.
+Queries that align documents, and those that follow from such alignments, have no SQL: the tests hold them against brute force, and `parts`
+has the same queries over shorter texts with SQL.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from ..operators import align, candidates, community, fast, graph, report
 from ..operators.base import checkpoint_dir, settled
 from ..operators.components import components
 from ..sources import fasta, store
+from . import parts
 
 GAMMA = 0.5
 
@@ -257,8 +259,8 @@ def modularity(spark, sf_dir):
 
 
 def connected_components(spark, sf_dir):
-    """Documents that meet in a bucket of the first four bands, directly or over others."""
-    cand = _cand(_ranked(spark, sf_dir), 4).where("rep <> tar")
+    """Documents that meet in a bucket of any band, directly or over others."""
+    cand = _cand(_ranked(spark, sf_dir)).where("rep <> tar")
     return components(cand.select(F.col("rep").alias("a"), F.col("tar").alias("b"))).select("node", "root")
 
 
@@ -294,7 +296,7 @@ def lcs_of_names(spark, sf_dir):
 def fast_pending(spark, sf_dir):
     seqs = _ranked(spark, sf_dir)
     cand = settled(_cand(seqs))
-    return fast.pending(cand, fast.parents(cand, _hits(seqs, cand, 95)), 8).select("band", "tar", "rep")
+    return fast.pending(cand, fast.parents(cand, _hits(seqs, cand, 95))).select("band", "tar", "rep")
 
 
 QUERIES = {
@@ -308,14 +310,20 @@ QUERIES = {
         connected_components, fasta_round_trip, packed_store, lcs_of_names, fast_pending,
     )
 }
+QUERIES.update(parts.QUERIES)
 
 _RAW = f"""raw AS (
   SELECT doc_id AS pos, strlen('>' || doc_id) AS name_len, strlen(seq) AS read_len, seq
   FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^{R.KEPT}]', '', 'g') AS seq FROM documents)
 )"""
-_SEQS = f"""{_RAW}, seqs AS (
+_PARTS = f"""raw AS (
+  SELECT p_partkey AS pos, strlen('>' || p_partkey) AS name_len, strlen(seq) AS read_len, seq
+  FROM (SELECT p_partkey, regexp_replace(concat_ws(' ', p_name, p_type, p_brand), '[^{R.KEPT}]', '', 'g') AS seq FROM part)
+)"""
+_RANKS = """seqs AS (
   SELECT row_number() OVER (ORDER BY read_len DESC, pos) - 1 AS idx, * FROM raw WHERE read_len < 65535
 )"""
+_SEQS = f"{_RAW}, {_RANKS}"
 _CODES = f"translate(seq, '{R._FROM}', '{R._TO}')"
 _WORDS = f"""words AS (
   SELECT id, unnest(CASE WHEN length(c) = 0 THEN [] WHEN length(c) < 8 THEN [('0x' || c)::bigint]
@@ -335,9 +343,9 @@ def _steps(source: str, columns: str) -> str:
     return q
 
 
-def _signed(bands: int) -> str:
+def _signed(bands: int, raw: str = _RAW) -> str:
     bare = ", ".join(c for c in ("id", "band"))
-    return f"""{_SEQS}, {_WORDS.format(id="idx", rel="seqs")}, uniq AS (SELECT DISTINCT id, word FROM words),
+    return f"""{raw}, {_RANKS}, {_WORDS.format(id="idx", rel="seqs")}, uniq AS (SELECT DISTINCT id, word FROM words),
 bands AS (SELECT k AS band, (k * 2654435761 + 2246822507) & 4294967295 AS seed FROM (SELECT unnest(range({bands})) AS k)),
 mins AS (SELECT id, band, min(s) AS sig FROM ({_steps("uniq CROSS JOIN bands", bare)}) GROUP BY id, band),
 sigs AS (SELECT idx, read_len, bands.band::int AS band, coalesce(sig, 4294967295) AS sig
@@ -396,7 +404,7 @@ SELECT id AS pos, {", ".join(f"min(s) FILTER (band = {k}) AS min_hash_{k}" for k
 SELECT node, old_comm, new_comm, round(gain, 6) AS gain FROM r WHERE k = 1""",
     "collapse_step": f"WITH {_GRAPH} SELECT u, v, w FROM super",
     "modularity": f"WITH {_GRAPH} SELECT round(2 * (SELECT coalesce(sum(w), 0) FROM super WHERE u = v) / sum(mass) - {GAMMA} * sum(mass * mass) / (sum(mass) * sum(mass)), 9) AS modularity FROM mass",
-    "connected_components": f"""WITH RECURSIVE {_signed(4)}, p AS (SELECT DISTINCT rep AS a, tar AS b FROM cand WHERE rep <> tar),
+    "connected_components": f"""WITH RECURSIVE {_signed(R.BANDS)}, p AS (SELECT DISTINCT rep AS a, tar AS b FROM cand WHERE rep <> tar),
 l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
 r AS (SELECT DISTINCT a AS node, a AS x FROM l UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.x)
 SELECT node, min(x) AS root FROM r GROUP BY node""",
@@ -408,3 +416,4 @@ SELECT a, b, (length(ha) - bit_count(list_reduce(list_transform(string_split(hb,
   lambda c: list_sum(list_transform(range(length(ha)), lambda k: CASE WHEN substr(ha, k + 1, 1) = c AND c <> '0' THEN 1::bigint << k ELSE 0 END))::bigint),
   lambda v, m: ((v + (v & m)) | (v - (v & m))) & ((1::bigint << length(ha)) - 1), (1::bigint << length(ha)) - 1)))::int AS lcs FROM p""",
 }
+ORACLES.update(parts.oracles(_signed(R.BANDS, _PARTS)))

@@ -72,3 +72,12 @@ def test_threshold_is_strict_and_single_precision():
     common = R.lcs(r1, r2)
     assert common == 19 and R.is_hit(19, 20, 20, R.threshold(90)) and not R.is_hit(19, 20, 20, R.threshold(91))
     assert not R.is_hit(0, 0, 0, R.threshold(1))
+
+
+def test_lcs_in_catalyst_of_any_length(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for n in (0, 1, 61, 62, 63, 70, 124, 125, 190) for letters in ("AC", "ACDEFGHIKLMNPQRSTVWY", "A", "AZ")]
+    pairs = [(x, y) for x in texts[::2] for y in texts[1::3]]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    for r in df.select("a", "b", R.lcs_short(R.residue_hex(F.col("a")), R.residue_hex(F.col("b"))).alias("n")).collect():
+        assert r["n"] == R.lcs(R.codes_of(r["a"]), R.codes_of(r["b"])), (len(r["a"]), len(r["b"]))
