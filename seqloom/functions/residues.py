@@ -122,16 +122,77 @@ def codes_of(seq: str | bytes) -> np.ndarray:
     return BYTE_CODES[np.frombuffer(seq.encode() if isinstance(seq, str) else seq, np.uint8)]
 
 
-def words_of(codes: np.ndarray) -> np.ndarray:
-    """The distinct words of a code array."""
+def all_words(codes: np.ndarray) -> np.ndarray:
+    """The words of a code array, place by place."""
     c = codes.astype(np.uint32)
     if not len(c):
         return np.zeros(0, np.uint32)
     size = min(WORD, len(c))
-    out = np.zeros(len(c) - size + 1, np.uint32)
-    for k in range(size):
-        out = (out << np.uint32(4)) | c[k : len(c) - size + 1 + k]
-    return np.unique(out)
+    out = c[: len(c) - size + 1].copy()
+    for k in range(1, size):
+        out <<= np.uint32(4)
+        out |= c[k : len(c) - size + 1 + k]
+    return out
+
+
+def words_of(codes: np.ndarray) -> np.ndarray:
+    """The distinct words of a code array."""
+    return np.unique(all_words(codes))
+
+
+#: Words that are hashed at a time: they and their hashes stay in the processor's cache.
+HASHED_WORDS = 1 << 14
+
+
+def _hash_into(s: np.ndarray, t: np.ndarray, words: np.ndarray, band: int) -> None:
+    """The hashes of words under a band's seed, into s; t is room for what is shifted."""
+
+    def mix(bits: int) -> None:
+        np.right_shift(s, np.uint32(bits), out=t)
+        np.bitwise_xor(s, t, out=s)
+
+    np.bitwise_xor(words, np.uint32(seed(band) ^ 61), out=s)
+    np.right_shift(words, np.uint32(16), out=t)
+    np.bitwise_xor(t, np.uint32(seed(band) >> 16), out=t)
+    np.bitwise_xor(s, t, out=s)
+    np.multiply(s, np.uint32(9), out=s)
+    mix(4)
+    np.multiply(s, np.uint32(MULTIPLIER), out=s)
+    mix(15)
+    mix(8)
+    np.multiply(s, np.uint32(STEP), out=s)
+    mix(14)
+
+
+def batch_minhashes(codes: list[np.ndarray], bands: int = BANDS) -> np.ndarray:
+    """A row of `bands` min-hashes for each code array. Short arrays are hashed together and long ones in pieces, HASHED_WORDS at a time."""
+    out = np.full((len(codes), bands), NONE, np.uint32)
+    s, t = np.empty(HASHED_WORDS, np.uint32), np.empty(HASHED_WORDS, np.uint32)
+    held: list[tuple[int, np.ndarray]] = []
+    size = 0
+
+    def hash_held() -> None:
+        nonlocal size
+        if held:
+            rows, starts = [r for r, _ in held], np.cumsum([0, *[len(w) for _, w in held[:-1]]])
+            words = np.concatenate([w for _, w in held])
+            a, b = s[: len(words)], t[: len(words)]
+            for k in range(bands):
+                _hash_into(a, b, words, k)
+                out[rows, k] = np.minimum(out[rows, k], np.minimum.reduceat(a, starts))
+        held.clear()
+        size = 0
+
+    for row, c in enumerate(codes):
+        words = all_words(c)
+        for at in range(0, len(words), HASHED_WORDS):
+            piece = words[at : at + HASHED_WORDS]
+            if size + len(piece) > HASHED_WORDS:
+                hash_held()
+            held.append((row, piece))
+            size += len(piece)
+    hash_held()
+    return out
 
 
 def minhashes(words: np.ndarray, bands: int = BANDS) -> np.ndarray:
@@ -152,13 +213,18 @@ def minhashes(words: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return out
 
 
+def masks_of(a: np.ndarray) -> list[int]:
+    """For each code the places that have it, as the bits of one big integer; none for code 0, which matches nothing."""
+    out = [0] * 16
+    for code in np.unique(a).tolist():
+        if code:
+            out[code] = int.from_bytes(np.packbits(a == code, bitorder="little").tobytes(), "little")
+    return out
+
+
 def lcs(a: np.ndarray, b: np.ndarray) -> int:
     """Length of the longest common subsequence of two code arrays, in which code 0 matches nothing. One big integer holds a row of the table."""
-    full = (1 << len(a)) - 1
-    masks = [0] * 16
-    for code in np.unique(a):
-        if code:
-            masks[int(code)] = int.from_bytes(np.packbits(a == code, bitorder="little").tobytes(), "little")
+    full, masks = (1 << len(a)) - 1, masks_of(a)
     row = full
     for code in b.tolist():
         m = masks[code]
@@ -168,6 +234,52 @@ def lcs(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - row.bit_count()
 
 
+def least_hit(len_a: int, len_b: int, t: np.float32) -> int:
+    """The least common length that is a hit for two lengths; a longer one is a hit as well."""
+    low, high = 0, len_a + len_b + 1
+    while low < high:
+        mid = (low + high) // 2
+        low, high = (low, mid) if is_hit(mid, len_a, len_b, t) else (mid + 1, high)
+    return low
+
+
+def lcs_of_hit(n: int, masks: list[int], b: np.ndarray, t: np.float32) -> int:
+    """The LCS of a sequence of n codes, given by its masks, and b if it is a hit, else -1.
+
+    A hit leaves out few codes of either, so it lies in a band of the table along the diagonal. b is taken in blocks as wide as the band, each
+    against the window of places that the band reaches in it. What the window leaves behind counts and is dropped; as soon as more codes of b have gone
+    unmatched than a hit may leave out, there is none.
+    """
+    m = len(b)
+    need = least_hit(n, m, t)
+    off_a, off_b = n - need, m - need
+    if off_a < 0 or off_b < 0:
+        return -1
+    block = max(64, off_a + off_b)
+    row, lo, hi, found = 0, 0, 0, 0
+    for at in range(0, m, block):
+        end = min(m, at + block)
+        first, last = max(0, at - off_b), max(hi, min(n, end + off_a))
+        gone = first - lo
+        if gone > 0:
+            found += gone - (row & ((1 << gone) - 1)).bit_count()
+            row >>= gone
+            lo = first
+        row |= ((1 << (last - hi)) - 1) << (hi - lo)
+        hi = last
+        width = hi - lo
+        full = (1 << width) - 1
+        near = [(x >> lo) & full for x in masks]
+        for code in b[at:end].tolist():
+            x = near[code]
+            if x:
+                hit = row & x
+                row = ((row + hit) | (row - hit)) & full
+        if end - (found + width - row.bit_count()) > off_b:
+            return -1
+    return found + hi - lo - row.bit_count()
+
+
 def threshold(identity: int) -> np.float32:
     return np.float32(identity / 100.0)
 

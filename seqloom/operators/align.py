@@ -7,37 +7,62 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.residues import codes_of, is_hit, lcs, threshold
+from ..functions.residues import codes_of, is_hit, lcs, lcs_of_hit, masks_of, threshold
 from .base import spread
 from .candidates import distinct_pairs
 
 
-def _at_most(a: np.ndarray, b: np.ndarray) -> int:
-    """A bound on the common subsequence: residues that both have."""
-    return int(np.minimum(np.bincount(a, minlength=16)[1:], np.bincount(b, minlength=16)[1:]).sum())
+class _Aligner:
+    """Aligns the pairs of a batch. What it works out of a sequence is kept while the batch lasts, as a representative has many targets."""
+
+    def __init__(self, t: np.float32 | None):
+        self.t = t
+        self.known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        self.masks: tuple[str | None, list[int]] = (None, [])
+
+    def _of(self, seq: str) -> tuple[np.ndarray, np.ndarray]:
+        got = self.known.get(seq)
+        if got is None:
+            codes = codes_of(seq)
+            got = self.known[seq] = codes, np.bincount(codes, minlength=16)[1:]
+        return got
+
+    def common_length(self, a: str, b: str) -> int:
+        """The LCS; with a threshold, -1 for a pair that is a miss."""
+        (x, in_x), (y, in_y) = self._of(a), self._of(b)
+        if self.t is not None and not is_hit(int(np.minimum(in_x, in_y).sum()), len(x), len(y), self.t):
+            return -1  # even all residues that both have are too few
+        if a == b:
+            return int(in_x.sum())
+        if len(x) < len(y):
+            a, x, y = b, y, x
+        if self.t is None:
+            return lcs(x, y)
+        if self.masks[0] != a:
+            self.masks = a, masks_of(x)
+        return lcs_of_hit(len(x), self.masks[1], y, self.t)
 
 
 def common_length(a: str, b: str, t: np.float32 | None = None) -> int:
-    """The LCS; with a threshold, -1 for a pair that a bound shows to be a miss."""
-    x, y = codes_of(a), codes_of(b)
-    if t is not None and not is_hit(_at_most(x, y), len(x), len(y), t):
-        return -1
-    if a == b:
-        return int((x > 0).sum())
-    return lcs(x, y) if len(x) >= len(y) else lcs(y, x)
+    """The LCS of two sequences; with a threshold, -1 for a pair that is a miss."""
+    return _Aligner(t).common_length(a, b)
 
 
 def align(pairs: DataFrame, seqs: DataFrame, identity: int | None = None) -> DataFrame:
-    """pairs with lcs, joined to both sequences. Pairs are spread by hash of both ends, as long ones cost most."""
+    """pairs with lcs, joined to both sequences; with an identity, -1 for those that are no hits. Pairs are spread by hash of rep, of which there are 64 with one at most, so that what is worked out of it serves all of them."""
     t = None if identity is None else threshold(identity)
 
     @F.arrow_udf("int")
     def run(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([common_length(x, y, t) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.int32())
+        aligner, pairs = _Aligner(t), [*zip(a.to_pylist(), b.to_pylist(), strict=True)]
+        out = [0] * len(pairs)
+        for k in sorted(range(len(pairs)), key=lambda k: max(pairs[k], key=len)):
+            out[k] = aligner.common_length(*pairs[k])
+        return pa.array(out, pa.int32())
 
     rep = seqs.select(F.col("idx").alias("rep"), F.col("seq").alias("rep_seq"))
     tar = seqs.select(F.col("idx").alias("tar"), F.col("seq").alias("tar_seq"))
-    held = spread(pairs.join(rep, "rep").join(tar, "tar"), "rep", "tar")
+    held = spread(pairs.join(rep, "rep").join(tar, "tar"), "rep")
     return held.withColumn("lcs", run("rep_seq", "tar_seq")).drop("rep_seq", "tar_seq")
 
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.residues import BANDS, codes_of, minhashes, project_residues, words_of
+from ..functions.residues import BANDS, batch_minhashes, codes_of, project_residues
 from .base import dense_rank_of_rows, spread
 
 #: Sequences of so many bytes or more are left out.
@@ -38,9 +38,8 @@ def signatures(seqs: DataFrame, bands: int = BANDS) -> DataFrame:
 
     @F.arrow_udf("array<bigint>")
     def sign(texts: pa.Array) -> pa.Array:
-        rows = [minhashes(words_of(codes_of(t.as_py())), bands).astype(np.int64) for t in texts]
-        flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * bands), pa.array(flat, pa.int64()))
+        flat = batch_minhashes([codes_of(t) for t in texts.to_pylist()], bands).astype(np.int64).ravel()
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * bands), pa.array(flat, pa.int64()))
 
     # ranked sequences lie by length, the longest together; hashing evens the work out
     return spread(seqs.select("idx", "read_len", "seq"), "idx").select("idx", "read_len", sign("seq").alias("sigs"))

@@ -81,3 +81,33 @@ def test_lcs_in_catalyst_of_any_length(spark):
     df = spark.createDataFrame(pairs, "a string, b string")
     for r in df.select("a", "b", R.lcs_short(R.residue_hex(F.col("a")), R.residue_hex(F.col("b"))).alias("n")).collect():
         assert r["n"] == R.lcs(R.codes_of(r["a"]), R.codes_of(r["b"])), (len(r["a"]), len(r["b"]))
+
+
+def test_banded_lcs_is_that_of_the_table_for_hits():
+    rng = random.Random(3)
+    hits = 0
+    for _ in range(400):
+        letters = rng.choice(["AC", "ACDEF", "ACDEFGHIKLNPRST", "ACZ"])
+        x = [rng.choice(letters) for _ in range(rng.choice([0, 1, 30, 64, 130, 200]))]
+        y = list(x)
+        for _ in range(rng.randrange(1 + len(x) // rng.choice([2, 4, 8, 20]))):
+            k = rng.randrange(len(y)) if y else 0
+            y[k : k + rng.randrange(2)] = [rng.choice(letters) for _ in range(rng.randrange(2))]
+        a, b = sorted(("".join(x), "".join(y)), key=len, reverse=True)
+        a, b = R.codes_of(a), R.codes_of(b)
+        whole = R.lcs(a, b)
+        for identity in (1, 50, 80, 95, 99):
+            t = R.threshold(identity)
+            got = R.lcs_of_hit(len(a), R.masks_of(a), b, t)
+            hit = R.is_hit(whole, len(a), len(b), t)
+            hits += hit
+            assert got == whole if hit else not R.is_hit(max(got, 0), len(a), len(b), t)
+            assert all(R.is_hit(c, len(a), len(b), t) == (c >= R.least_hit(len(a), len(b), t)) for c in range(len(b) + 1))
+    assert hits > 300
+
+
+def test_batch_of_signatures_is_one_by_one():
+    rng = random.Random(4)
+    codes = [R.codes_of("".join(rng.choice("ACDEFGHZ") for _ in range(n))) for n in (0, 1, 5, 8, 9, 300, 0, R.HASHED_WORDS + 7, 2 * R.HASHED_WORDS + 40, 3)]
+    got = R.batch_minhashes(codes)
+    assert [r.tolist() for r in got] == [R.minhashes(R.words_of(c)).tolist() for c in codes]
