@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import LOWER, UPPER, bound_batches, release, settled, written
+from .common import LOWER, UPPER, bound_batches, col, release, settled, written
 
 SHINGLE = 5
 #: Jaccard similarity from which documents link, in hundredths.
@@ -27,8 +27,10 @@ FREQUENT = 32
 EXTENSION = 0.04
 BATCH_BYTES = 2 << 20
 PART_TOKENS = 1 << 20
-#: Members of a block that probes are held against, and documents from which a component has groups of its own.
-BLOCK, LARGE = 128, 32
+#: Members of a block, probes that are held against it at a time, and documents from which a component has groups of its own.
+BLOCK, PROBES, LARGE = 128, 512, 32
+#: Rows of a table of components up to which it is sent to every executor (24 bytes each).
+BROADCAST_ROWS = 300_000
 #: Rounds of likely pairs before the exact one, and partners a document has in each of them.
 ROUNDS, PARTNERS = 2, 2
 SALTS = 8
@@ -271,16 +273,29 @@ def _remaining(rows: DataFrame, reps: DataFrame) -> DataFrame:
     apart = F.least("x.c0", "y.c0") < F.greatest("x.c1", "y.c1")
     fits = (100 * F.col("x.hi") >= LEAST * F.col("y.lo")) & (100 * F.col("y.hi") >= LEAST * F.col("x.lo"))
     couples = settled(x.join(y, (F.col("x.key") == F.col("y.key")) & ordered & apart & fits).select(F.col("x.g").alias("small"), F.col("y.g").alias("large")).distinct())
-    blocks = info.groupBy(F.col("g").alias("large")).agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
+    members = info.groupBy("g").agg(F.count("*").alias("members"))
     tokens = reps.select("node", "tokens")
-    asked = couples.join(blocks, "large")
-    larger = info.select("node", "comp", F.col("g").alias("large")).join(asked.select("large", "blocks").distinct(), "large")
-    larger = larger.select("large", F.pmod(F.xxhash64("node"), "blocks").alias("block"), "node", "comp").join(tokens, "node")
-    probes = asked.join(info.select(F.col("g").alias("small"), "node", F.col("comp").alias("probe_comp")), "small").join(tokens, "node").select(
-        F.col("large").alias("to_large"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("to_block"),
+    # every block of members is held against every block of probes: no task holds more than BLOCK of the ones and about PROBES of the others
+    sized = couples.join(members.select(F.col("g").alias("large"), F.ceil(F.col("members") / BLOCK).cast("long").alias("blocks")), "large")
+    asking = sized.join(members.select(F.col("g").alias("small"), F.col("members").alias("asking")), "small")
+    shape = settled(asking.groupBy("large").agg(F.first("blocks").alias("blocks"), F.ceil(F.sum("asking") / PROBES).cast("long").alias("turns")))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    place = lambda node, n: F.pmod(F.xxhash64(node), F.col(n))
+    larger = info.select("node", "comp", F.col("g").alias("large")).join(shape, "large").join(tokens, "node").select(
+        "large", place("node", "blocks").alias("block"), each("turns").alias("turn"), "node", "comp", "tokens"
+    )
+    probes = couples.join(shape, "large").join(info.select(F.col("g").alias("small"), "node", F.col("comp").alias("probe_comp")), "small").join(tokens, "node").select(
+        F.col("large").alias("to_large"), each("blocks").alias("to_block"), place("node", "turns").alias("to_turn"),
         F.col("node").alias("probe"), "probe_comp", F.col("tokens").alias("probe_tokens"),
     )
-    return larger.groupBy("large", "block").cogroup(probes.groupBy("to_large", "to_block")).applyInArrow(_block_links, "a long, b long")
+    return larger.groupBy("large", "block", "turn").cogroup(probes.groupBy("to_large", "to_block", "to_turn")).applyInArrow(_block_links, "a long, b long")
+
+
+def _with(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """rows left-joined to a table with one row per key. A key may have a large share of the rows, so a table of BROADCAST_ROWS at most goes to them; a larger
+    one meets them in a sort-merge join, whose hot partitions adaptive execution splits."""
+    table = settled(table)
+    return rows.join(F.broadcast(table) if table.count() <= BROADCAST_ROWS else table, key, "left")
 
 
 def similar_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -294,11 +309,12 @@ def similar_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Nulls: a null text has no words and links with nothing; rows with a null id get no component id of their own, and
     nulls don't count as smallest. Rows that share an id are one document if their texts are equal, else two that
-    share the id. Other columns are left out. An empty table gives an empty one.
+    share the id. Ids may have any type that can be ordered. Other columns are left out, whatever their names. An empty table gives an empty one.
     """
     spark = df.sparkSession
     bound_batches(spark)
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    docs = df.select(col(id_col).alias("doc_id"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
     volume = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n_batches = max(volume // BATCH_BYTES + 1, 2 * min(tasks, volume // (1 << 18) + 1))
@@ -306,7 +322,7 @@ def similar_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     dealt = docs.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_batches)).cast("int"))
     counted = dealt.groupBy("batch").applyInArrow(_count_tokens(bits), "part int, batch int, keys binary, counts binary")
     levels = counted.groupBy("part").applyInArrow(_levels, "batch int, part int, levels binary")
-    index = dealt.groupBy("batch").cogroup(levels.groupBy("batch")).applyInArrow(_index, "doc_id long, n long, node long, keys array<long>, tokens binary")
+    index = dealt.groupBy("batch").cogroup(levels.groupBy("batch")).applyInArrow(_index, f"doc_id {kind}, n long, node long, keys array<long>, tokens binary")
     index = written(index, "shingle-index")
     held = index.where("keys IS NOT NULL").dropDuplicates(["node"]).select("node", "n", "keys", "tokens")
     reps = written(held, "shingle-sets")
@@ -322,9 +338,9 @@ def similar_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     now = rows.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     links = links.union(settled(_remaining(now, reps)))
     comps = components(links).withColumnRenamed("root", "comp")
-    slim = index.select("doc_id", F.col("n").alias("n_shingles"), "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    slim = _with(index.select("doc_id", F.col("n").alias("n_shingles"), "node"), comps, "node").withColumn("comp", F.coalesce("comp", "node"))
     least = slim.where("n_shingles > 0").groupBy("comp").agg(F.min("doc_id").alias("least"), F.count("*").alias("c")).where("c > 1").select("comp", "least")
-    out = slim.join(least, "comp", "left")
+    out = _with(slim, least, "comp")
     own = F.when((F.col("n_shingles") > 0) & F.col("least").isNotNull(), F.col("least")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"))
 
