@@ -16,8 +16,8 @@ from .common import bound_batches, scratch, settled
 REVISIT_BYTES = 1000
 #: Up to so many repeated payloads, their table is sent to every executor; beyond, it is joined by a shuffle.
 BROADCAST_PAYLOADS = 50_000
-#: Captures in one archive file at most.
-FILE_CAPTURES = 5_000
+#: Bytes of payload up to which a capture is of a class, and captures of that class in one archive file at most: 256 MB, but for the largest ones.
+FILE_CLASSES = ((1 << 14, 1 << 14), (1 << 18, 1 << 10), (1 << 22, 1 << 6), (1 << 31, 4))
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 RECORD = T.StructType(
@@ -63,7 +63,10 @@ def write_captures(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     and the others are revisits that refer to it and carry no payload. Digests and ids go through one small
     aggregate; the pages themselves are not shuffled while the repeated payloads number at most
     BROADCAST_PAYLOADS. The records of a capture lie together in one file; every record is followed by two
-    line ends, which the text writer puts there as its separator.
+    line ends, which the text writer puts there as its separator. Files are rolled by FILE_CLASSES, so that a reader can hold one.
+
+    Ids are whole numbers; of repeated rows with one id any is the response, and the others are equal to it. A null url has no target header, a null page an
+    empty payload, a null id the page-id of none. Other columns are not read, whatever their names. An empty table gives no records.
     """
     base = pages.select(
         F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"),
@@ -94,13 +97,16 @@ def write_captures(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         F.concat(where, digest, _line("WARC-Profile", PROFILE), _line("WARC-Refers-To", _urn("response", F.col("first.id"), F.col("first.url"), F.col("sha"))), _line("WARC-Refers-To-Target-URI", F.col("first.url"))),
         "application/http; msgtype=response", http,
     )
-    meta = _record(
-        "metadata", _urn("metadata", rid), date, F.concat(where, tied), "application/warc-fields",
-        F.concat(_line("page-id", F.col("id")), _line("refers-to-page-id", F.when(revisit, F.col("first.id")))),
-    )
-    rows.select(F.explode(F.array(request, F.when(revisit, again).otherwise(response), meta)).alias("value")).write.option(
-        "lineSep", "\r\n\r\n"
-    ).option("compression", "gzip").option("maxRecordsPerFile", 3 * FILE_CAPTURES).text(path)
+    meta = _record("metadata", _urn("metadata", rid), date, F.concat(where, tied), "application/warc-fields", _line("page-id", F.col("id")))
+    size = F.lit(len(FILE_CLASSES) - 1)
+    for k in range(len(FILE_CLASSES) - 2, -1, -1):
+        size = F.when(F.col("bytes") <= FILE_CLASSES[k][0], F.lit(k)).otherwise(size)
+    records = rows.withColumn("class", size).select("class", F.explode(F.array(request, F.when(revisit, again).otherwise(response), meta)).alias("value"))
+    found = sorted(r["class"] for r in pages.select(F.octet_length(F.coalesce(F.col(html_col).cast("string"), F.lit(""))).alias("bytes")).select(size.alias("class")).distinct().collect())
+    for k in found or [0]:
+        records.where(F.col("class") == k).select("value").write.mode("append").option("lineSep", "\r\n\r\n").option("compression", "gzip").option(
+            "maxRecordsPerFile", 3 * FILE_CLASSES[k][1]
+        ).text(path)
 
 
 def parse_archive(data: bytes, archive: str = "") -> Iterator[tuple]:
@@ -216,6 +222,15 @@ def assemble(records: DataFrame) -> DataFrame:
     )
 
 
+def resolve(captures: DataFrame, named: str, value: str, out: str) -> DataFrame:
+    """captures, which are settled and have capture_id, with `out`: the `value` of the capture that the column `named` refers to by its identifier; null if
+    there is none. As many captures may refer to one, the distinct captures referred to are looked up first, and meet the rows by broadcast up to BROADCAST_PAYLOADS."""
+    wanted = captures.where(F.col(named).isNotNull()).select(F.col(named).alias("__id")).distinct()
+    known = settled(wanted.join(captures.groupBy(F.col("capture_id").alias("__id")).agg(F.max(value).alias(out)), "__id"))
+    small = known.count() <= BROADCAST_PAYLOADS
+    return captures.join(F.broadcast(known) if small else known, F.col(named) == F.col("__id"), "left").drop("__id")
+
+
 def _field(block: Column, name: str) -> Column:
     return F.nullif(F.regexp_extract(block, rf"(?m)^{name}: (.*?)\r?$", 1), F.lit(""))
 
@@ -232,13 +247,11 @@ def op1_warc(spark, sf_dir: str) -> DataFrame:
         }
     )
     captures = assemble(records.drop("payload", "http_head", "archive", "offset", "warc_date", "target_uri", "payload_digest"))
-    return captures.select(
-        _field(F.col("metadata.fields"), "page-id").cast("long").alias("page_id"),
-        F.col("response.payload_bytes").alias("payload_bytes"),
-        F.col("response.sha").alias("payload_digest"),
-        F.col("response.warc_type").alias("record_type"),
-        _field(F.col("metadata.fields"), "refers-to-page-id").cast("long").alias("refers_to"),
-    )
+    slim = captures.select(
+        "capture_id", _field(F.col("metadata.fields"), "page-id").cast("long").alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"),
+        F.col("response.sha").alias("payload_digest"), F.col("response.warc_type").alias("record_type"), F.col("response.refers_to").alias("named"),
+    )
+    return resolve(settled(slim), "named", "page_id", "refers_to").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP1_SQL = """
