@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, release
+from .common import bound_batches, col, fresh, others, release
 
 #: Splits that are remembered with their ids; a memory of results, cleared when full.
 CACHE_SPLITS = 100_000
@@ -68,6 +68,7 @@ class ByteBPE:
         self.bytes_of: list[bytes] = [b""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
             self.bytes_of[i] = bytes(chars[c] for c in token)
+        self.lengths = np.array([len(b) for b in self.bytes_of], np.int64)
         self.digits = [str(i) for i in range(len(self.bytes_of))]
         self.cache: dict[str, tuple] = {}
 
@@ -104,13 +105,21 @@ class ByteBPE:
 
     def spans(self, text: str, ids: list[int]) -> tuple[list[int], list[int]]:
         """First and end character of each id's bytes in the text. A token that holds part of a character covers that character."""
-        raw = np.frombuffer(text.encode(), np.uint8)
+        start, end = self._spans(text, ids)
+        return start.tolist(), end.tolist()
+
+    def span_bytes(self, text: str, ids: list[int]) -> bytes:
+        """First and then end characters, 4 bytes each, the least significant first."""
+        return b"".join(x.astype("<u4").tobytes() for x in self._spans(text, ids))
+
+    def _spans(self, text: str, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
         char = np.cumsum((raw & 0xC0) != 0x80) - 1
-        end = np.cumsum([len(self.bytes_of[i]) for i in ids], dtype=np.int64)
+        end = np.cumsum(self.lengths[ids], dtype=np.int64)
         if not len(end):
-            return [], []
+            return end, end
         start = np.concatenate([[0], end[:-1]])
-        return char[start].tolist(), (char[end - 1] + 1).tolist()
+        return char[start], char[end - 1] + 1
 
     def decode_bytes(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -162,12 +171,13 @@ def encode(df: DataFrame, spec: dict, text_col: str = "text", ids_col: str = "in
         return pa.StructArray.from_arrays([*cols.values()], [*cols])
 
     out = {ids_col: "ids", **({"starts": "starts", "ends": "ends"} if spans else {})}
-    held = df.drop(*out).withColumn("__bpe", run(F.col(text_col)))
-    return held.select(*[c for c in df.columns if c not in out], *[F.col(f"__bpe.{k}").alias(c) for c, k in out.items()])
+    kept, one = others(df, *out), fresh(df, "__bpe")
+    held = df.select(*map(col, kept), run(col(text_col)).alias(one))
+    return held.select(*map(col, kept), *[F.col(one)[k].alias(c) for c, k in out.items()])
 
 
 def decode(df: DataFrame, spec: dict, ids_col: str = "input_ids", text_col: str = "decoded") -> DataFrame:
-    """df with the text of each list of ids; null ids give an empty text."""
+    """df with the text of each list of ids, in text_col, which replaces a column of that name in any case of letters; null ids give an empty text."""
     bound_batches(df.sparkSession)
 
     @F.arrow_udf("string")
@@ -175,28 +185,35 @@ def decode(df: DataFrame, spec: dict, ids_col: str = "input_ids", text_col: str
         codec = _codec(spec)
         return pa.array([codec.decode(i or ()) for i in ids.to_pylist()], pa.string())
 
-    return df.withColumn(text_col, run(F.col(ids_col)))
+    return df.select(*map(col, others(df, text_col)), run(col(ids_col)).alias(text_col))
 
 
 def round_trip(df: DataFrame, spec: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256): encodes, decodes the ids, and digests both in one pass, so that ids needn't leave the worker."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, spans_sha256): encodes, decodes the ids, and digests both in one pass, so that ids needn't leave the worker.
+
+    spans_sha256 is the digest of the first and end characters of the tokens. A null text counts as empty. Rows stay as they are, with ids of any type, null or
+    repeated; other columns are left out. An empty table gives an empty one.
+    """
     bound_batches(df.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+    rows = df.select(col(id_col).alias("doc_id"), col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(spec)
         for batch in batches:
-            n, ids_sha, text_sha = [], [], []
+            n, ids_sha, text_sha, span_sha = [], [], [], []
             for text in batch.column(1):
-                ids = codec.encode(text.as_py())
+                text = text.as_py() or ""
+                ids = codec.encode(text)
                 n.append(len(ids))
+                span_sha.append(hashlib.sha256(codec.span_bytes(text, ids)).hexdigest())
                 ids_sha.append(hashlib.sha256(" ".join(map(codec.digits.__getitem__, ids)).encode()).hexdigest())
                 text_sha.append(hashlib.sha256(codec.decode_bytes(ids)).hexdigest())
             release()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], schema=schema)
+            digests = [pa.array(x, pa.string()) for x in (ids_sha, text_sha, span_sha)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *digests], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"])
 
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string")
 
 
 def op4_byte_bpe(spark, sf_dir: str) -> DataFrame:

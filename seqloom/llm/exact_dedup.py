@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import col, fresh, lower_ascii, others
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
@@ -19,30 +19,29 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
 
     Nulls: a null text counts as empty; a null id is smaller than any other id.
     Repeated rows (same id, same text) are one document: all of them carry the same answer.
-    Columns of df that have the names of added columns are replaced. An empty table gives an empty one.
+    Columns of df that have the names of added columns, in any case of letters, are replaced; all others pass through. An empty table gives an empty one.
     """
-    added = {"keep_id", "group_size", "kept", "text_sha256"}
-    clash = [c for c in df.columns if c.lower() in added]
-    text = lower_ascii(F.coalesce(F.col(text_col), F.lit("")))
+    added = ("keep_id", "group_size", "kept", "text_sha256")
+    kept = others(df, *added)
+    text = lower_ascii(F.coalesce(col(text_col).cast("string"), F.lit("")))
     best = F.max if keep == "max" else F.min
     groups = (
-        df.select(F.unhex(F.md5(text.cast("binary"))).alias("h"), text.alias("norm"), F.col(id_col).alias("id"))
+        df.select(F.unhex(F.md5(text.cast("binary"))).alias("h"), text.alias("norm"), col(id_col).alias("id"))
         .groupBy("h", "norm")
         .agg(best("id").alias("keep_id"), F.count("*").alias("group_size"))
         .where("group_size > 1")
-        .select(F.col("h").alias("__gh"), F.sha2(F.col("norm").cast("binary"), 256).alias("__gs"), "keep_id", "group_size")
+        .select("h", F.sha2(F.col("norm").cast("binary"), 256).alias("sha"), "keep_id", "group_size")
     )
-    rows = df.drop(*clash).withColumns(
-        {"__h": F.unhex(F.md5(text.cast("binary"))), "text_sha256": F.sha2(text.cast("binary"), 256)}
-    )
-    joined = rows.join(groups, (F.col("__h") == F.col("__gh")) & (F.col("text_sha256") == F.col("__gs")), "left")
-    single = F.col("group_size").isNull()
-    keep_id = F.when(single, F.col(id_col)).otherwise(F.col("keep_id"))
+    h, gh, gs = (fresh(df, x) for x in ("__h", "__group_h", "__group_sha"))
+    groups = groups.withColumnsRenamed({"h": gh, "sha": gs})
+    rows = df.select(*map(col, kept), F.unhex(F.md5(text.cast("binary"))).alias(h), F.sha2(text.cast("binary"), 256).alias("text_sha256"))
+    joined = rows.join(groups, (F.col(h) == F.col(gh)) & (F.col("text_sha256") == F.col(gs)), "left")
+    keep_id = F.when(F.col("group_size").isNull(), col(id_col)).otherwise(F.col("keep_id"))
     return joined.select(
-        *[F.col(c) for c in df.columns if c not in clash],
+        *map(col, kept),
         keep_id.alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        F.col(id_col).eqNullSafe(keep_id).alias("kept"),
+        col(id_col).eqNullSafe(keep_id).alias("kept"),
         "text_sha256",
     )
 

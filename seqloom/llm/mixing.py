@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, settled, word_count
+from .common import SPACE_CLASS, col, fresh, others, settled, word_count
 
 #: Rows that a bucket of the key range holds on average.
 BUCKET_ROWS = 512
@@ -57,43 +57,40 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     sources are aggregates.
 
     Nulls: a null text has size 0; a null source is a source, last in order. Ids that repeat share a key and
-    are ordered by size; their rows are mixed one by one. Columns of df with the names of added columns are
-    replaced. An empty table gives an empty one.
+    are ordered by size; their rows are mixed one by one. Columns of df with the names of added columns, in any case of
+    letters, are replaced; all others pass through. An empty table gives an empty one.
     """
-    added = {"size", "source_size", "target", "start", "taken"}
-    clash = [c for c in df.columns if c.lower() in added]
-    kept = [c for c in df.columns if c not in clash]
+    added = ("size", "source_size", "target", "start", "taken")
+    kept = others(df, *added)
+    key, no, src, bucket, total, offset = (fresh(df, x) for x in ("__key", "__no", "__src", "__bucket", "__sum", "__offset"))
     bits = max(0, (max(1, df.count()) // BUCKET_ROWS).bit_length())
-    base = df.drop(*clash).withColumns(
-        {
-            "size": word_count(F.col(text_col)),
-            "__key": random_key(F.col(id_col), seed),
-            "__no": F.col(source_col).isNull(),
-            "__src": F.coalesce(F.col(source_col), F.lit("")),
-        }
-    ).withColumn("__bucket", F.shiftright("__key", 60 - bits))
-    sums = settled(base.groupBy("__no", "__src", "__bucket").agg(F.sum("size").alias("__sum")))
-    sizes = sums.groupBy(F.col("__no").alias("no_source"), F.col("__src").alias("source")).agg(F.sum("__sum").alias("source_size"))
-    targets = source_targets(sizes, **rule).select(F.col("no_source").alias("__no"), F.col("source").alias("__src"), "source_size", "target")
-    past = Window.partitionBy("__no", "__src").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.withColumn("__offset", F.coalesce(F.sum("__sum").over(past), F.lit(0))).drop("__sum").join(targets, ["__no", "__src"])
-    inside = Window.partitionBy("__no", "__src", "__bucket").orderBy("__key", id_col, "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = base.join(offsets, ["__no", "__src", "__bucket"]).withColumn("start", F.col("__offset") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    base = df.select(
+        *map(col, kept), word_count(col(text_col).cast("string")).alias("size"), random_key(col(id_col), seed).alias(key),
+        col(source_col).isNull().alias(no), F.coalesce(col(source_col).cast("string"), F.lit("")).alias(src),
+    ).withColumn(bucket, F.shiftright(key, 60 - bits))
+    sums = settled(base.groupBy(no, src, bucket).agg(F.sum("size").alias(total)))
+    sizes = sums.groupBy(F.col(no).alias("no_source"), F.col(src).alias("source")).agg(F.sum(total).alias("source_size"))
+    targets = source_targets(sizes, **rule).select(F.col("no_source").alias(no), F.col("source").alias(src), "source_size", "target")
+    past = Window.partitionBy(no, src).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.withColumn(offset, F.coalesce(F.sum(total).over(past), F.lit(0))).drop(total).join(targets, [no, src])
+    inside = Window.partitionBy(no, src, bucket).orderBy(F.col(key), col(id_col), F.col("size")).rowsBetween(Window.unboundedPreceding, -1)
+    placed = base.join(offsets, [no, src, bucket]).withColumn("start", F.col(offset) + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     budget = F.floor("target")
     epochs = F.when(F.col("source_size") == 0, F.lit(0)).otherwise(F.floor(budget / F.greatest("source_size", F.lit(1))))
     rest = budget - epochs * F.col("source_size") - F.col("start")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(rest, F.col("size")))
-    return placed.select(*kept, "size", "source_size", "target", "start", taken.cast("long").alias("taken"))
+    return placed.select(*map(col, kept), "size", "source_size", "target", "start", taken.cast("long").alias("taken"))
 
 
 def repeat_epochs(mixed: DataFrame, text_col: str = "text") -> DataFrame:
     """The mix itself: each document as often as the mix takes it, the last copy at a source's cut shortened to the words still due."""
     size, taken = F.greatest(F.col("size"), F.lit(1)), F.col("taken")
-    copies = mixed.where("taken > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.ceil(taken / size).cast("int"))))
-    due = F.least(size, taken - (F.col("__copy") - 1) * size)
-    pieces = F.split(F.col(text_col), f"(?<=[^{SPACE_CLASS}])(?=[{SPACE_CLASS}])")  # each word with the space before it
-    head = F.array_join(F.slice(pieces, F.lit(1), F.col("__due").cast("int")), "")
-    return copies.withColumn("__due", due).withColumn(text_col, F.when(F.col("__due") < F.col("size"), head).otherwise(F.col(text_col))).drop("__copy", "__due")
+    copy = fresh(mixed, "__copy")
+    copies = mixed.where("taken > 0").withColumn(copy, F.explode(F.sequence(F.lit(1), F.ceil(taken / size).cast("int"))))
+    due = F.least(size, taken - (F.col(copy) - 1) * size)
+    pieces = F.split(col(text_col), f"(?<=[^{SPACE_CLASS}])(?=[{SPACE_CLASS}])")  # each word with the space before it
+    head = F.array_join(F.slice(pieces, F.lit(1), due.cast("int")), "")
+    return copies.select(*[F.when(due < F.col("size"), head).otherwise(col(c)).alias(c) if c == text_col else col(c) for c in mixed.columns])
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
