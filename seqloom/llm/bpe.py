@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, col, fresh, others, release
+from .common import bound_batches, col, fresh, others, release, typed
 
 #: Splits that are remembered with their ids; a memory of results, cleared when full.
 CACHE_SPLITS = 100_000
@@ -212,8 +212,7 @@ def round_trip(df: DataFrame, spec: dict, id_col: str = "doc_id", text_col: str
             digests = [pa.array(x, pa.string()) for x in (ids_sha, text_sha, span_sha)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *digests], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"])
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string")
+    return rows.mapInArrow(run, typed("doc_id", rows.schema["doc_id"].dataType, "n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string"))
 
 
 def op4_byte_bpe(spark, sf_dir: str) -> DataFrame:

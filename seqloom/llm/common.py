@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
+
+from ..operators.base import scratch, settled, written
+
+__all__ = ["bound_batches", "col", "fresh", "lower_ascii", "others", "release", "scratch", "settled", "typed", "word_count", "words", "written"]
 
 #: The white space that separates words, as characters and as the inside of a regex class.
 SPACES = " \t\n\x0b\x0c\r"
@@ -46,6 +49,11 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def typed(first: str, kind: DataType, rest: str) -> StructType:
+    """A schema of one column of a given type and more in DDL."""
+    return StructType([StructField(first, kind), *StructType.fromDDL(rest)])
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A name for a helper column that df has no column of."""
     taken = {c.lower() for c in df.columns}
@@ -54,41 +62,6 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    A cluster names it in spark.checkpoint.dir. Only a local master, as in tests, may go without;
-    it then gets a temporary folder.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="seqloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder; Spark's cleaner removes it with the last reference."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet into the shared folder and read back: columns can be pruned, and it is compressed."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 try:
     _trim = ctypes.CDLL("libc.so.6").malloc_trim
 except (OSError, AttributeError):  # another C library; its allocator decides
@@ -103,6 +76,10 @@ def release() -> None:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches of this session's Python operators by rows and by bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Bounds the Arrow batches of this session's Python operators by rows and by bytes. The settings are read when a query runs, which is after the operator
+    has returned it, so they stay; bounds that are tighter already stay as they are."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key, None) or ""
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))

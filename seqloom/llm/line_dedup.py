@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, col, fresh, others, release, settled, written
+from .common import bound_batches, col, fresh, others, release, settled, typed, written
 
 #: Words from which a line has a template, documents from which a template recurs, and leading words that a path through the tree has.
 WORDS, DOCUMENTS, DEPTH = 5, 3, 3
@@ -155,13 +155,13 @@ def recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     bound_batches(df.sparkSession)
     docs = df.select(col(id_col).alias("doc_id"), col(text_col).cast("string").alias("text"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    keyed = typed("doc_id", docs.schema["doc_id"].dataType, "key long")
     distinct = docs.select("text").mapInArrow(_distinct, "path long, key long, line string, docs long").groupBy("path", "key", "line").agg(F.sum("docs").alias("docs"))
     parsed = distinct.repartition("path").sortWithinPartitions("path", "line").select("path", "key", "line", "docs").mapInArrow(_parse, "key long, template long, docs long, least byte")
     parsed = written(parsed, "line-templates")
     often = parsed.groupBy("template", "least").agg(F.sum("docs").alias("docs")).where("docs >= least").select("template")
     some = settled(parsed.join(often, "template").select("key", "template", "least"))
-    held = written(docs.mapInArrow(_keys, f"doc_id {kind}, key long").join(some, "key"), "template-lines")
+    held = written(docs.mapInArrow(_keys, keyed).join(some, "key"), "template-lines")
     spread = held.select("template", "least", "doc_id").distinct().groupBy("template", "least").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first"))
     # settled, so that the join's sides are plain exchanges and a hot template's rows can be split
     spread = settled(spread.where("docs >= least").select("template", "first"))

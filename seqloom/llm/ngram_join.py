@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import LOWER, UPPER, bound_batches, col, release, settled, written
+from .common import LOWER, UPPER, bound_batches, col, release, settled, typed, written
 
 SHINGLE = 5
 #: Jaccard similarity from which documents link, in hundredths.
@@ -314,7 +314,7 @@ def similar_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spark = df.sparkSession
     bound_batches(spark)
     docs = df.select(col(id_col).alias("doc_id"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    indexed = typed("doc_id", docs.schema["doc_id"].dataType, "n long, node long, keys array<long>, tokens binary")
     volume = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n_batches = max(volume // BATCH_BYTES + 1, 2 * min(tasks, volume // (1 << 18) + 1))
@@ -322,7 +322,7 @@ def similar_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     dealt = docs.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_batches)).cast("int"))
     counted = dealt.groupBy("batch").applyInArrow(_count_tokens(bits), "part int, batch int, keys binary, counts binary")
     levels = counted.groupBy("part").applyInArrow(_levels, "batch int, part int, levels binary")
-    index = dealt.groupBy("batch").cogroup(levels.groupBy("batch")).applyInArrow(_index, f"doc_id {kind}, n long, node long, keys array<long>, tokens binary")
+    index = dealt.groupBy("batch").cogroup(levels.groupBy("batch")).applyInArrow(_index, indexed)
     index = written(index, "shingle-index")
     held = index.where("keys IS NOT NULL").dropDuplicates(["node"]).select("node", "n", "keys", "tokens")
     reps = written(held, "shingle-sets")
