@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .functions.residues import BANDS
 from .operators import align, candidates, community, fast, report
-from .operators.base import settled
+from .operators.base import settled, written
 from .sources import fasta, store
 
 
@@ -23,9 +23,17 @@ class SequenceEngine:
         if not stats.first()["valid"]:
             raise ValueError("no valid sequence")
         ranked = candidates.rank_by_length(seqs)
-        store.write_store(path, ranked, candidates.candidates(candidates.long_signatures(candidates.signatures(ranked))), BANDS)
+        signed = written(candidates.signatures(ranked), "signed")
+        store.write_store(path, ranked, candidates.candidates(candidates.long_signatures(signed)), BANDS, signed)
         return stats
 
+    def statistics(self, path: str, identity: int = 95, bands: int = BANDS) -> DataFrame:
+        """One row about a first-hit run: valid, longest, shortest, compare_pairs, edges, clusters."""
+        seqs, cand = self._load(path, identity, bands)
+        hits = settled(align.edges(cand, seqs, identity))
+        up = settled(fast.parents(cand, hits))
+        return report.run_statistics(seqs, fast.compare_pairs(cand, up), hits, fast.assignments(seqs, fast.roots(up)))
+
     def _load(self, path: str, identity: int, bands: int) -> tuple[DataFrame, DataFrame]:
         candidates.check_parameters(identity, bands)
         store.check_store(self.spark, path)

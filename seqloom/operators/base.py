@@ -1,4 +1,4 @@
-"""Help that operators share: settled intermediate tables and distributed ranks."""
+"""Help that operators share: the scratch folder, settled intermediate tables and distributed ranks."""
 
 from __future__ import annotations
 
@@ -9,8 +9,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def _remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Has the driver's file system remove a path when the driver ends."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only a local master may go without and gets a temporary folder."""
+    """The folder that driver and executors share.
+
+    A cluster names it in spark.checkpoint.dir. Only a local master, as in tests, may go without; it then gets a temporary folder. What this
+    package puts there is removed when the driver ends.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         master = spark.sparkContext.master
@@ -18,8 +28,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="seqloom-")
         spark.conf.set("spark.checkpoint.dir", path)
+        _remove_at_exit(spark, path)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
+        _remove_at_exit(spark, spark.sparkContext.getCheckpointDir())
+    return path
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the driver ends."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _remove_at_exit(spark, path)
     return path
 
 
@@ -31,7 +50,7 @@ def settled(df: DataFrame) -> DataFrame:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet into the shared folder and read back: compressed, and columns can be pruned."""
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.residues import BANDS, batch_minhashes, codes_of, project_residues
-from .base import dense_rank_of_rows, spread
+from .base import dense_rank_of_rows, spread, written
 
 #: Sequences of so many bytes or more are left out.
 LENGTH_LIMIT = 65_535
@@ -50,19 +51,57 @@ def long_signatures(signed: DataFrame) -> DataFrame:
     return signed.select("idx", "read_len", F.posexplode("sigs").alias("band", "sig"))
 
 
+def _predecessors(batches):
+    """Sorted rows (band, sig, idx, read_len) of a partition as candidates, with marks of its first and last one."""
+
+    def shifted(column, carried):
+        return np.concatenate([[carried], column[:-1]])
+
+    def made(batch, before, first, last):
+        band, sig, idx, size = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+        same = (shifted(band, before[0]) == band) & (shifted(sig, before[1]) == sig)
+        marks = np.zeros((2, len(band)), bool)
+        marks[0, 0], marks[1, -1] = first, last
+        columns = (band, sig, idx, size, np.where(same, shifted(idx, before[2]), idx), np.where(same, shifted(size, before[3]), size))
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
+        arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+        part = pa.array(np.full(len(band), TaskContext.get().partitionId()), pa.int32())
+        return pa.RecordBatch.from_arrays([*arrays, part, *map(pa.array, marks)], ["band", "sig", "tar", "tar_len", "rep", "rep_len", "part", "first", "last"])
+
+    held, before, first = None, (-1, -1, -1, -1), True
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            yield made(held, before, first, False)
+            before, first = tuple(held.column(k)[-1].as_py() for k in range(4)), False
+        held = batch
+    if held is not None:
+        yield made(held, before, first, True)
+
+
 def candidates(long: DataFrame) -> DataFrame:
     """(band, tar, tar_len, rep, rep_len): each sequence with the one before it in its bucket, or with itself at a bucket's head.
 
-    One shuffle by (band, sig); a bucket is sorted, never joined with itself, so its cost is linear in its size.
+    Signatures are written once, sorted by (band, sig, idx) in ranges, and each row looks at the one before it. A range may end within a
+    bucket, so a bucket of any size, like that of all empty sequences, is shared by as many tasks as it needs; a table of two rows a
+    range says what the first row of a range follows. Nothing is joined with itself and no bucket is held in memory.
     """
-    here = Window.partitionBy("band", "sig").orderBy("idx")
-    return long.select(
-        "band",
-        F.col("idx").alias("tar"),
-        F.col("read_len").alias("tar_len"),
-        F.coalesce(F.lag("idx").over(here), F.col("idx")).alias("rep"),
-        F.coalesce(F.lag("read_len").over(here), F.col("read_len")).alias("rep_len"),
+    signed = written(long.select("band", "sig", "idx", "read_len"), "signatures")
+    order = ["band", "sig", "idx"]
+    kinds = "band int, sig long, tar long, tar_len int, rep long, rep_len int, part int, first boolean, last boolean"
+    rows = written(signed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_predecessors, kinds), "candidates")
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    edges = rows.where("first OR last").groupBy("part").agg(
+        F.max(F.when(F.col("first"), F.struct("band", "sig", "tar", "tar_len"))).alias("head"), F.max(F.when(F.col("last"), F.struct("band", "sig", "tar", "tar_len"))).alias("tail")
+    )
+    follows = F.last("tail").over(earlier).alias("before")
+    heads = edges.select("head", follows).select("head.*", "before")
+    same = F.coalesce((F.col("before.band") == F.col("band")) & (F.col("before.sig") == F.col("sig")), F.lit(False))
+    linked = heads.select(
+        "band", "tar", "tar_len", F.when(same, F.col("before.tar")).otherwise(F.col("tar")).alias("rep"), F.when(same, F.col("before.tar_len")).otherwise(F.col("tar_len")).alias("rep_len")
     )
+    return rows.where("NOT first").select("band", "tar", "tar_len", "rep", "rep_len").union(linked)
 
 
 def check_parameters(identity: int = 95, bands: int = BANDS) -> None:

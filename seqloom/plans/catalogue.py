@@ -7,14 +7,12 @@ has the same queries over shorter texts with SQL.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import residues as R
 from ..operators import align, candidates, community, fast, graph, report
-from ..operators.base import checkpoint_dir, settled
+from ..operators.base import scratch, settled, written
 from ..operators.components import components
 from ..sources import fasta, store
 from . import parts
@@ -264,28 +262,35 @@ def connected_components(spark, sf_dir):
     return components(cand.select(F.col("rep").alias("a"), F.col("tar").alias("b"))).select("node", "root")
 
 
-def _scratch(spark, name: str) -> str:
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def fasta_round_trip(spark, sf_dir):
     """Documents written as FASTA files and scanned again."""
-    path = _scratch(spark, "fasta")
+    path = scratch(spark, "fasta")
     fasta.write_fasta(_raw(spark, sf_dir), path)
     return fasta.read_fasta(spark, path).select("name", F.md5(F.col("seq").cast("binary")).alias("seq_md5"), "name_len", "read_len")
 
 
 def packed_store(spark, sf_dir):
-    """The packed data set written and read again by its first eight bands; names come from the stored sequences."""
-    path = _scratch(spark, "store")
+    """The packed data set of all bands written, and its first sixteen bands read again; names come from the stored sequences."""
+    path = scratch(spark, "store")
     seqs = _ranked(spark, sf_dir)
-    store.write_store(path, seqs, _cand(seqs, 16), 16)
+    signed = written(candidates.signatures(seqs), "signed")
+    store.write_store(path, seqs, candidates.candidates(candidates.long_signatures(signed)), R.BANDS, signed)
     store.check_store(spark, path)
-    stored, cand = store.read_store(spark, path, 8)
+    stored, cand = store.read_store(spark, path, 16)
     name = stored.select(F.col("idx").alias("tar"), "name")
     return cand.where("rep <> tar").join(name, "tar").select("band", "tar", "rep", "name")
 
 
+def stored_signatures(spark, sf_dir):
+    """Bucket heads from the stored signatures of a packed data set, without signing again."""
+    path = scratch(spark, "store")
+    seqs = _ranked(spark, sf_dir)
+    signed = written(candidates.signatures(seqs), "signed")
+    store.write_store(path, seqs, candidates.candidates(candidates.long_signatures(signed)), R.BANDS, signed)
+    again = candidates.long_signatures(store.read_signatures(spark, path))
+    return again.groupBy("band", "sig").agg(F.count("*").alias("n"), F.min("idx").alias("head"))
+
+
 def lcs_of_names(spark, sf_dir):
     """The LCS of the names of nations in one region, without leaving Catalyst."""
     n = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_regionkey", R.residue_hex(F.col("n_name")).alias("h"))
@@ -307,7 +312,7 @@ QUERIES = {
         band_pruned_candidates, running_offsets, similarity_pairs, edges_95, edges_80, fast_parent, fast_roots, fast_cluster_sizes,
         fast_compare_pairs, fast_cluster_table, fast_member_order, fast_report_lines, fast_modularity, leiden_clusters, leiden_report,
         edge_canonicalise, multi_edge_merge, degree, total_degree, neighbour_comm_weight, best_move_step, collapse_step, modularity,
-        connected_components, fasta_round_trip, packed_store, lcs_of_names, fast_pending,
+        connected_components, fasta_round_trip, packed_store, stored_signatures, lcs_of_names, fast_pending,
     )
 }
 QUERIES.update(parts.QUERIES)
@@ -409,7 +414,8 @@ l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
 r AS (SELECT DISTINCT a AS node, a AS x FROM l UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.x)
 SELECT node, min(x) AS root FROM r GROUP BY node""",
     "fasta_round_trip": f"WITH {_RAW} SELECT '>' || pos AS name, md5(seq) AS seq_md5, name_len, read_len FROM raw",
-    "packed_store": f"WITH {_signed(8)} SELECT band, tar, rep, '>' || seqs.pos AS name FROM cand JOIN seqs ON seqs.idx = cand.tar WHERE rep <> tar",
+    "packed_store": f"WITH {_signed(16)} SELECT band, tar, rep, '>' || seqs.pos AS name FROM cand JOIN seqs ON seqs.idx = cand.tar WHERE rep <> tar",
+    "stored_signatures": f"WITH {_signed(64)} SELECT band, sig, count(*) AS n, min(idx) AS head FROM sigs GROUP BY band, sig",
     "lcs_of_names": f"""WITH n AS (SELECT n_nationkey, n_regionkey, translate(regexp_replace(n_name, '[^A-Za-z.]', '.', 'g'), '{R._FROM}', '{R._TO}') AS h FROM nation),
 p AS (SELECT x.n_nationkey AS a, y.n_nationkey AS b, x.h AS ha, y.h AS hb FROM n x JOIN n y ON x.n_regionkey = y.n_regionkey AND x.n_nationkey < y.n_nationkey)
 SELECT a, b, (length(ha) - bit_count(list_reduce(list_transform(string_split(hb, ''),

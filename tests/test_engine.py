@@ -233,3 +233,29 @@ def test_length_limit(spark):
 def test_flags():
     assert parse(["-m", "fast", "-i", "80", "-i", "90", "-z", "1"])["-i"] == "90"
     assert (number("12x"), number("abc"), number("-3")) == (12, 0, -3)
+
+
+def test_candidates_of_a_bucket_over_many_ranges(spark):
+    rng = random.Random(12)
+    rows = [(k, 9, band, 7 if k % 3 else rng.randrange(40)) for k in range(3000) for band in (0, 1)] + [(k, 0, 2, 0xFFFFFFFF) for k in range(500)]
+    rng.shuffle(rows)
+    got = candidates.candidates(spark.createDataFrame(rows, "idx long, read_len int, band int, sig long").repartition(7))
+    assert got.columns == ["band", "tar", "tar_len", "rep", "rep_len"]
+    last, want = {}, set()
+    for idx, size, band, sig in sorted(rows):
+        rep, rep_len = last.get((band, sig), (idx, size))
+        want.add((band, idx, size, rep, rep_len))
+        last[band, sig] = idx, size
+    found = [tuple(r) for r in got.collect()]
+    assert len(found) == len(rows) and set(found) == want
+    assert candidates.candidates(spark.createDataFrame([], "idx long, read_len int, band int, sig long")).count() == 0
+
+
+def test_statistics_and_stored_signatures(spark, packed):
+    from seqloom.sources import store
+
+    row = SequenceEngine(spark).statistics(packed[0], 90).first()
+    assert (row["valid"], row["longest"], row["shortest"], row["edges"], row["clusters"]) == (10, 24, 0, 5, 6)
+    signed = store.read_signatures(spark, packed[0])
+    again = candidates.candidates(candidates.long_signatures(signed)).select("band", "tar", "rep")
+    assert sorted(map(tuple, again.collect())) == sorted((r["band"], r["tar"], r["rep"]) for r in spark.read.parquet(packed[0] + "/candidates").collect())
