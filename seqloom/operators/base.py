@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -55,6 +56,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of plans that nothing refers to any more; without a collection on the driver they stay for long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def dense_rank_of_rows(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """df with the place, from 0, of each row in a total order, without a single-task sort.
 
