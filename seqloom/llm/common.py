@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
-from ..operators.base import scratch, settled, written
+from ..operators.base import forget, scratch, settled, written
 
-__all__ = ["bound_batches", "col", "fresh", "lower_ascii", "others", "release", "scratch", "settled", "typed", "word_count", "words", "written"]
+__all__ = ["bound_batches", "col", "forget", "fresh", "lower_ascii", "others", "release", "scratch", "settled", "typed", "word_count", "words", "written"]
 
 #: The white space that separates words, as characters and as the inside of a regex class.
 SPACES = " \t\n\x0b\x0c\r"

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import LOWER, UPPER, bound_batches, col, release, settled, typed, written
+from .common import LOWER, UPPER, bound_batches, col, forget, release, settled, typed, written
 
 SHINGLE = 5
 #: Jaccard similarity from which documents link, in hundredths.
@@ -324,17 +324,22 @@ def similar_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     levels = counted.groupBy("part").applyInArrow(_levels, "batch int, part int, levels binary")
     index = dealt.groupBy("batch").cogroup(levels.groupBy("batch")).applyInArrow(_index, indexed)
     index = written(index, "shingle-index")
+    del counted, levels
+    forget(spark)
     held = index.where("keys IS NOT NULL").dropDuplicates(["node"]).select("node", "n", "keys", "tokens")
     reps = written(held, "shingle-sets")
     keyed = reps.select("node", "n", F.explode("keys").alias("key"))
     live = keyed.join(keyed.groupBy("key").agg(F.count("*").alias("k")).where("k > 1"), "key")
     rows = written(live.select("key", "node", "n", "k"), "shingle-keys")
+    del held, live
+    forget(spark)
     links, comps = None, None
     for _ in range(ROUNDS):
         now = rows.withColumn("comp", F.col("node")) if comps is None else rows.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         found = settled(_verified(_likely(now), reps))
         links = found if links is None else links.union(found)
         comps = settled(components(links).withColumnRenamed("root", "comp"))
+        forget(spark)
     now = rows.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     links = links.union(settled(_remaining(now, reps)))
     comps = components(links).withColumnRenamed("root", "comp")
