@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm import bpe, toxicity
-from seqloom.llm.common import fresh, settled, written
+from seqloom.llm.common import forget, fresh, settled, written
 from seqloom.llm.exact_dedup import exact_dedup
 from seqloom.llm.mixing import mix, repeat_epochs
 from seqloom.llm.ngram_join import similar_sets
@@ -81,4 +81,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = written(docs, f"pipeline-{k}")
+            forget(spark)
     return docs
