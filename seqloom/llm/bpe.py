@@ -68,7 +68,7 @@ class ByteBPE:
         self.bytes_of: list[bytes] = [b""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
             self.bytes_of[i] = bytes(chars[c] for c in token)
-        self.lengths = np.array([len(b) for b in self.bytes_of], np.int64)
+        self.lengths = np.array([len(b) for b in self.bytes_of], np.int32)
         self.digits = [str(i) for i in range(len(self.bytes_of))]
         self.cache: dict[str, tuple] = {}
 
@@ -110,16 +110,16 @@ class ByteBPE:
 
     def span_bytes(self, text: str, ids: list[int]) -> bytes:
         """First and then end characters, 4 bytes each, the least significant first."""
-        return b"".join(x.astype("<u4").tobytes() for x in self._spans(text, ids))
+        return b"".join(x.astype("<i4", copy=False).tobytes() for x in self._spans(text, ids))
 
     def _spans(self, text: str, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
-        char = np.cumsum((raw & 0xC0) != 0x80) - 1
-        end = np.cumsum(self.lengths[ids], dtype=np.int64)
-        if not len(end):
-            return end, end
-        start = np.concatenate([[0], end[:-1]])
-        return char[start], char[end - 1] + 1
+        end = np.cumsum(self.lengths[np.fromiter(ids, np.int32, len(ids))], dtype=np.int32)
+        start = np.concatenate([np.zeros(min(1, len(end)), np.int32), end[:-1]])
+        if text.isascii():
+            return start, end
+        raw = np.frombuffer(text.encode("utf-8", "replace"), np.int8)
+        char = np.cumsum(raw >= -0x40, dtype=np.int32)  # characters that have begun by each byte
+        return char[start] - 1, char[end - 1]
 
     def decode_bytes(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
