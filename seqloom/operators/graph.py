@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .base import dense_rank_of_rows
+
 
 def canonical(edges: DataFrame) -> DataFrame:
     """(u, v, w) with u <= v; edges without positive weight or with a null end are dropped."""
@@ -66,3 +68,20 @@ def modularity(edges: DataFrame, member: DataFrame, gamma: float) -> DataFrame:
     sums = deg.agg(F.sum("mass").alias("total"), F.sum(F.col("mass") * F.col("mass")).alias("squares"))
     q = 2 * inside / F.col("total") - F.lit(float(gamma)) * F.col("squares") / (F.col("total") * F.col("total"))
     return sums.select(F.when(F.col("total") > 0, q).otherwise(F.lit(0.0)).alias("modularity"))
+
+
+def community_totals(edges: DataFrame, member: DataFrame) -> DataFrame:
+    """(comm, nodes, total): the nodes of each community and their total degree."""
+    return degrees(edges).join(member, "node").groupBy("comm").agg(F.count("*").alias("nodes"), F.sum("degree").alias("total"))
+
+
+def dense_ids(member: DataFrame) -> DataFrame:
+    """(node, comm, id): communities numbered from 0 in the order of their smallest nodes. The numbers come from a range sort over one row per community."""
+    first = member.groupBy("comm").agg(F.min("node").alias("first"))
+    return member.join(dense_rank_of_rows(first, [F.col("first")], "id").select("comm", "id"), "comm").select("node", "comm", "id")
+
+
+def composed(member: DataFrame, coarser: DataFrame) -> DataFrame:
+    """(node, comm): the communities of (node, comm) followed through those of (comm, upper), as when a graph of communities has been clustered again. One that
+    has no upper community stays as it is."""
+    return member.join(coarser.select("comm", "upper"), "comm", "left").select("node", F.coalesce("upper", "comm").alias("comm"))

@@ -256,6 +256,29 @@ def modularity(spark, sf_dir):
     return graph.modularity(edges, _member(edges), GAMMA).select(F.round("modularity", 9).alias("modularity"))
 
 
+def community_totals(spark, sf_dir):
+    edges = graph.merged(_graph(spark, sf_dir))
+    return graph.community_totals(edges, _member(edges))
+
+
+def dense_community_ids(spark, sf_dir):
+    """Communities are the best moves' targets, numbered by first appearance."""
+    edges = graph.merged(_graph(spark, sf_dir))
+    member = _member(edges)
+    moves = graph.best_moves(edges, member, GAMMA).select("node", F.col("new_comm").alias("moved"))
+    return graph.dense_ids(member.join(moves, "node", "left").select("node", F.coalesce("moved", "comm").alias("comm")))
+
+
+def composed_communities(spark, sf_dir):
+    """Members of communities after these have moved themselves on the collapsed graph."""
+    edges = graph.merged(_graph(spark, sf_dir))
+    member = _member(edges)
+    above = graph.collapse(edges, member)
+    each = member.select(F.col("comm").alias("node")).distinct().withColumn("comm", F.pmod("node", F.lit(3)) + 100)
+    moves = graph.best_moves(above, each, GAMMA).select(F.col("node").alias("comm"), F.col("new_comm").alias("upper"))
+    return graph.composed(member, moves)
+
+
 def connected_components(spark, sf_dir):
     """Documents that meet in a bucket of any band, directly or over others."""
     cand = _cand(_ranked(spark, sf_dir)).where("rep <> tar")
@@ -312,7 +335,7 @@ QUERIES = {
         band_pruned_candidates, running_offsets, similarity_pairs, edges_95, edges_80, fast_parent, fast_roots, fast_cluster_sizes,
         fast_compare_pairs, fast_cluster_table, fast_member_order, fast_report_lines, fast_modularity, leiden_clusters, leiden_report,
         edge_canonicalise, multi_edge_merge, degree, total_degree, neighbour_comm_weight, best_move_step, collapse_step, modularity,
-        connected_components, fasta_round_trip, packed_store, stored_signatures, lcs_of_names, fast_pending,
+        community_totals, dense_community_ids, composed_communities, connected_components, fasta_round_trip, packed_store, stored_signatures, lcs_of_names, fast_pending,
     )
 }
 QUERIES.update(parts.QUERIES)
@@ -370,6 +393,17 @@ mass AS (SELECT comm, sum(degree) AS mass FROM deg JOIN member USING (node) GROU
 tot AS (SELECT sum(degree) AS total FROM deg),
 super AS (SELECT least(a.comm, b.comm) AS u, greatest(a.comm, b.comm) AS v, sum(w) AS w FROM e JOIN member a ON a.node = e.u JOIN member b ON b.node = e.v GROUP BY ALL)"""
 
+
+
+def _best(member: str, ties: str, deg: str, mass: str, tot: str) -> str:
+    """(node, new_comm) of the best moves over the given relations."""
+    return f"""SELECT node, new_comm FROM (
+  SELECT node, new_comm, row_number() OVER (PARTITION BY node ORDER BY gain DESC, near) AS k FROM (
+    SELECT t.node, t.comm AS new_comm, t.near, (t.w - {GAMMA} * d.degree * (a.mass + d.degree) / tot.total) - (coalesce(o.w, 0) - {GAMMA} * d.degree * b.mass / tot.total) AS gain
+    FROM {ties} t JOIN {member} m ON m.node = t.node JOIN {deg} d ON d.node = t.node JOIN {mass} a ON a.comm = t.comm JOIN {mass} b ON b.comm = m.comm
+    LEFT JOIN {ties} o ON o.node = t.node AND o.comm = m.comm CROSS JOIN {tot} tot WHERE t.comm <> m.comm) WHERE gain > 0) WHERE k = 1"""
+
+
 ORACLES = {
     "seq_lengths": f"WITH {_RAW} SELECT pos, name_len, read_len FROM raw",
     "length_filter": f"WITH {_RAW} SELECT pos, read_len FROM raw WHERE read_len < 65535",
@@ -409,6 +443,16 @@ SELECT id AS pos, {", ".join(f"min(s) FILTER (band = {k}) AS min_hash_{k}" for k
 SELECT node, old_comm, new_comm, round(gain, 6) AS gain FROM r WHERE k = 1""",
     "collapse_step": f"WITH {_GRAPH} SELECT u, v, w FROM super",
     "modularity": f"WITH {_GRAPH} SELECT round(2 * (SELECT coalesce(sum(w), 0) FROM super WHERE u = v) / sum(mass) - {GAMMA} * sum(mass * mass) / (sum(mass) * sum(mass)), 9) AS modularity FROM mass",
+    "community_totals": f"WITH {_GRAPH} SELECT comm, count(*) AS nodes, sum(degree) AS total FROM deg JOIN member USING (node) GROUP BY comm",
+    "dense_community_ids": f"""WITH {_GRAPH}, g AS ({_best("member", "ties", "deg", "mass", "tot")}),
+now AS (SELECT node, coalesce(new_comm, comm) AS comm FROM member LEFT JOIN g USING (node)), f AS (SELECT comm, min(node) AS first FROM now GROUP BY comm)
+SELECT node, comm, id FROM now JOIN (SELECT comm, row_number() OVER (ORDER BY first) - 1 AS id FROM f) USING (comm)""",
+    "composed_communities": f"""WITH {_GRAPH}, ways2 AS (SELECT u AS node, v AS other, w FROM super UNION ALL SELECT v, u, w FROM super),
+deg2 AS (SELECT node, sum(w) AS degree FROM ways2 GROUP BY node), member2 AS (SELECT DISTINCT comm AS node, comm % 3 + 100 AS comm FROM member),
+ties2 AS (SELECT b.node, m.comm, sum(b.w) AS w, min(b.other) AS near FROM ways2 b JOIN member2 m ON m.node = b.other WHERE b.node <> b.other GROUP BY ALL),
+mass2 AS (SELECT comm, sum(degree) AS mass FROM deg2 JOIN member2 USING (node) GROUP BY comm), tot2 AS (SELECT sum(degree) AS total FROM deg2),
+g AS ({_best("member2", "ties2", "deg2", "mass2", "tot2")})
+SELECT m.node, coalesce(g.new_comm, m.comm) AS comm FROM member m LEFT JOIN g ON g.node = m.comm""",
     "connected_components": f"""WITH RECURSIVE {_signed(R.BANDS)}, p AS (SELECT DISTINCT rep AS a, tar AS b FROM cand WHERE rep <> tar),
 l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
 r AS (SELECT DISTINCT a AS node, a AS x FROM l UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.x)
