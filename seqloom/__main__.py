@@ -24,9 +24,11 @@ def number(text: str) -> int:
 
 
 def main(args: list[str]) -> int:
+    """The exit code: 0 also where input is refused before any work, 1 where work fails."""
     from pyspark.sql import SparkSession
 
     from .api import SequenceEngine
+    from .operators.base import InvalidInput
 
     o = parse(args)
     if o["-m"] not in ("makedb", "clustering", "fast"):
@@ -41,7 +43,7 @@ def main(args: list[str]) -> int:
             run(o["-p"], number(o["-i"]), number(o["-b"]), o["-r"])
     except ValueError as e:
         print(e, file=sys.stderr)
-        return 1
+        return 0 if isinstance(e, InvalidInput) else 1
     return 0
 
 

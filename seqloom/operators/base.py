@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+class InvalidInput(ValueError):
+    """Parameters or files that can't be worked on at all."""
+
+
 def _remove_at_exit(spark: SparkSession, path: str) -> None:
     """Has the driver's file system remove a path when the driver ends."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.residues import BANDS, batch_minhashes, codes_of, project_residues
-from .base import dense_rank_of_rows, spread, written
+from .base import InvalidInput, dense_rank_of_rows, spread, written
 
 #: Sequences of so many bytes or more are left out.
 LENGTH_LIMIT = 65_535
@@ -106,9 +106,9 @@ def candidates(long: DataFrame) -> DataFrame:
 
 def check_parameters(identity: int = 95, bands: int = BANDS) -> None:
     if not 1 <= identity <= 99:
-        raise ValueError("identity must be from 1 to 99")
+        raise InvalidInput("identity must be from 1 to 99")
     if not 1 <= bands <= BANDS:
-        raise ValueError(f"bands must be from 1 to {BANDS}")
+        raise InvalidInput(f"bands must be from 1 to {BANDS}")
 
 
 def length_fits(identity: int):

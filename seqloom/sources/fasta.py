@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.base import InvalidInput
+
 
 def _file(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
@@ -13,10 +15,10 @@ def _file(spark: SparkSession, path: str):
 
 
 def check_fasta(spark: SparkSession, path: str) -> None:
-    """Raises ValueError unless the file exists, its first line does not end in a carriage return, and its last byte is a line feed. An empty file passes; of a folder, each file is looked at. Reads the first line and one byte."""
+    """Raises InvalidInput unless the file exists, its first line does not end in a carriage return, and its last byte is a line feed. An empty file passes; of a folder, each file is looked at. Reads the first line and one byte."""
     fs, p = _file(spark, path)
     if not fs.exists(p):
-        raise ValueError(f"no such file: {path}")
+        raise InvalidInput(f"no such file: {path}")
     status = fs.getFileStatus(p)
     if status.isDirectory():
         for s in fs.listStatus(p):
@@ -28,14 +30,17 @@ def check_fasta(spark: SparkSession, path: str) -> None:
         return
     stream = fs.open(p)
     try:
-        last = -1
-        while (b := stream.read()) not in (-1, 10):
-            last = b
-        if last == 13:
-            raise ValueError("lines end in CR LF; LF is needed")
+        last = b""
+        while part := stream.readNBytes(1 << 16):
+            line, end, _ = part.partition(b"\n")
+            last = line[-1:] or last
+            if end:
+                break
+        if last == b"\r":
+            raise InvalidInput("lines end in CR LF; LF is needed")
         stream.seek(size - 1)
         if stream.read() != 10:
-            raise ValueError("the last line has no line end")
+            raise InvalidInput("the last line has no line end")
     finally:
         stream.close()
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.base import InvalidInput
+
 
 def write_store(path: str, seqs: DataFrame, cand: DataFrame, bands: int, signed: DataFrame | None = None) -> None:
     """sequences/, candidates/ with a folder per band, signatures/ (idx, read_len, sigs) if given, and manifest/ with counts that readers can check.
@@ -34,9 +36,9 @@ def read_store(spark: SparkSession, path: str, bands: int | None = None) -> tupl
 
 
 def check_store(spark: SparkSession, path: str) -> dict:
-    """The manifest; raises ValueError if the store is empty or its row counts differ from it."""
+    """The manifest; raises InvalidInput if the store is empty or its row counts differ from it."""
     m = spark.read.json(f"{path}/manifest").first()
     seqs, cand = read_store(spark, path)
     if not m or not m["sequences"] or (seqs.count(), cand.count()) != (m["sequences"], m["candidates"]):
-        raise ValueError(f"{path} is empty or incomplete")
+        raise InvalidInput(f"{path} is empty or incomplete")
     return m.asDict()
