@@ -26,7 +26,7 @@ def _cand(seqs: DataFrame) -> DataFrame:
 def _run(spark: SparkSession, sf_dir: str, identity: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
     """(sequences, candidates, hits, parents, assignments)."""
     seqs = _ranked(spark, sf_dir)
-    cand = settled(_cand(seqs))
+    cand = _cand(seqs)
     hits = settled(align.edges(cand, seqs, identity))
     up = settled(fast.parents(cand, hits))
     return seqs, cand, hits, up, fast.assignments(seqs, fast.roots(up))
