@@ -69,3 +69,14 @@ def test_only_the_ends_of_a_range_keep_their_signature(spark):
     rows = spark.read.parquet(path)
     assert rows.count() == cand.count() == 64 * 60
     assert rows.where((F.col("first") | F.col("last")) != F.col("sig").isNotNull()).isEmpty()
+
+
+def test_whole_alignment_removes_its_pairs_and_what_they_come_from(spark):
+    """As in similarity_pairs, which has no identity to drop pairs by."""
+    seqs = candidates.rank_by_length(candidates.sequences_from_text(texts(spark)))
+    old = tables(spark)
+    cand = candidates.candidates(candidates.long_signatures(candidates.signatures(seqs)))
+    pairs = candidates.distinct_pairs(cand, 95)
+    n = pairs.count()
+    got = align.align(pairs, seqs, spent=cand)
+    assert named(tables(spark) - old) == ["lcs"] and got.count() == n > 0
