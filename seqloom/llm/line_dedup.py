@@ -100,20 +100,28 @@ def documents_of(words: int) -> int:
 
 
 def _parse(batches):
-    """The template of each distinct line and the documents it needs; rows come by path, so one leaf is held at a time."""
-    path, leaf = None, None
+    """The template of each distinct line and the documents it needs; rows come by path, so one leaf is held at a time.
+
+    The first line of a leaf is its own template, and most leaves have no other, so a leaf is made with its second line.
+    """
+    path, leaf, first = None, None, None
     for batch in batches:
         out, least = [], []
         for p, key, line in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            tokens = line.split(" ")
-            least.append(documents_of(len(tokens)))
-            if len(tokens) < WORDS:
+            words = line.count(" ") + 1
+            least.append(documents_of(words))
+            if words < WORDS:
                 out.append(key)
                 continue
-            here = (len(tokens), *tokens[:DEPTH])
+            here = (words, *line.split(" ", DEPTH)[:DEPTH])
             if here != path:
-                path, leaf = here, Leaf(len(tokens))
-            out.append(leaf.template(tokens, key))
+                path, leaf, first = here, None, (line, key)
+                out.append(key)
+                continue
+            if leaf is None:
+                leaf = Leaf(words)
+                leaf.template(first[0].split(" "), first[1])
+            out.append(leaf.template(line.split(" "), key))
         yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.int64()), batch.column(3), pa.array(least, pa.int8())], ["key", "template", "docs", "least"])
         release()
 
