@@ -6,9 +6,8 @@ import base64
 import hashlib
 import json
 import os
-from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches, col, fresh, others, release, typed
 
-#: Splits that are remembered with their ids; a memory of results, cleared when full.
+#: Splits that are remembered with their ids; when the memory of results is full, it becomes the older one, from which splits that come again are taken over.
 CACHE_SPLITS = 100_000
 CACHE_CHARS = 48
 
@@ -70,7 +69,9 @@ class ByteBPE:
             self.bytes_of[i] = bytes(chars[c] for c in token)
         self.lengths = np.array([len(b) for b in self.bytes_of], np.int32)
         self.digits = [str(i) for i in range(len(self.bytes_of))]
-        self.cache: dict[str, tuple] = {}
+        #: The ids of splits, four bytes each.
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @staticmethod
     def spec(path: str, pattern: str) -> dict:
@@ -84,24 +85,37 @@ class ByteBPE:
         outside = pattern.replace(r"[^\s", rf"[^{_SPACE}").replace(r"\S", rf"[^{_SPACE}]")
         return {"tokenizer": tok.to_str(), "pattern": outside.replace(r"\s", f"[{_SPACE}]")}
 
-    def _ids(self, splits: list[str]) -> list[tuple]:
-        return [tuple(e.ids) for e in self.encoder.encode_batch_fast(splits, add_special_tokens=False)]
+    def _ids(self, splits: list[str]) -> list[bytes]:
+        """The packed ids of each split. The library takes splits as the words of one sequence and encodes each apart, without a result object each; where a split's ids end is known by their bytes."""
+        if not splits:
+            return []
+        ids = np.array(self.encoder.encode_batch_fast([splits], is_pretokenized=True, add_special_tokens=False)[0].ids, np.int32)
+        ends = np.searchsorted(np.cumsum(self.lengths[ids], dtype=np.int64), np.cumsum([len(s.encode()) for s in splits])) + 1
+        at, raw = [0, *(4 * ends).tolist()], ids.tobytes()
+        return [raw[a:b] for a, b in pairwise(at)]
 
-    def encode(self, text: str | None) -> list[int]:
+    def packed(self, text: str | None) -> np.ndarray:
         """The ids of a text; none for null."""
         if not text:
-            return []
+            return np.zeros(0, np.int32)
         splits, cache = self.split(text), self.cache
-        if new := [s for s in set(splits) if s not in cache]:
+        if new := set(splits).difference(cache):
             if len(cache) > CACHE_SPLITS:
-                cache.clear()
-                new = [*set(splits)]
+                self.older, self.cache = cache, {}
+                cache, new = self.cache, set(splits)
+            if self.older:
+                cache |= {s: self.older[s] for s in new if s in self.older}
+                new = new.difference(cache)
             short = [s for s in new if len(s) <= CACHE_CHARS]
             cache.update(zip(short, self._ids(short), strict=True))
             if len(short) < len(new):
                 long = [s for s in new if len(s) > CACHE_CHARS]
                 cache = dict(zip(long, self._ids(long), strict=True)) | {s: cache[s] for s in set(splits) if len(s) <= CACHE_CHARS}
-        return [*chain.from_iterable(map(cache.__getitem__, splits))]
+        return np.frombuffer(b"".join(map(cache.__getitem__, splits)), np.int32)
+
+    def encode(self, text: str | None) -> list[int]:
+        """The ids of a text as a list."""
+        return self.packed(text).tolist()
 
     def spans(self, text: str, ids: list[int]) -> tuple[list[int], list[int]]:
         """First and end character of each id's bytes in the text. A token that holds part of a character covers that character."""
@@ -113,7 +127,7 @@ class ByteBPE:
         return b"".join(x.astype("<i4", copy=False).tobytes() for x in self._spans(text, ids))
 
     def _spans(self, text: str, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        end = np.cumsum(self.lengths[np.fromiter(ids, np.int32, len(ids))], dtype=np.int32)
+        end = np.cumsum(self.lengths[np.asarray(ids, np.int32)], dtype=np.int32)
         start = np.concatenate([np.zeros(min(1, len(end)), np.int32), end[:-1]])
         if text.isascii():
             return start, end
@@ -159,9 +173,9 @@ def encode(df: DataFrame, spec: dict, text_col: str = "text", ids_col: str = "in
     def run(texts: pa.Array) -> pa.Array:
         codec = _codec(spec)
         texts = texts.to_pylist()
-        ids = [array("i", codec.encode(t)) for t in texts]
+        ids = [codec.packed(t) for t in texts]
         ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-        flat = np.concatenate([np.frombuffer(i, np.int32) for i in ids]) if ends[-1] else np.zeros(0, np.int32)
+        flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
         cols = {"ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))}
         if spans:
             both = [codec.spans(t or "", i) for t, i in zip(texts, ids, strict=True)]
@@ -203,9 +217,10 @@ def round_trip(df: DataFrame, spec: dict, id_col: str = "doc_id", text_col: str
             n, ids_sha, text_sha, span_sha = [], [], [], []
             for text in batch.column(1):
                 text = text.as_py() or ""
-                ids = codec.encode(text)
+                packed = codec.packed(text)
+                ids = packed.tolist()
                 n.append(len(ids))
-                span_sha.append(hashlib.sha256(codec.span_bytes(text, ids)).hexdigest())
+                span_sha.append(hashlib.sha256(codec.span_bytes(text, packed)).hexdigest())
                 ids_sha.append(hashlib.sha256(" ".join(map(codec.digits.__getitem__, ids)).encode()).hexdigest())
                 text_sha.append(hashlib.sha256(codec.decode_bytes(ids)).hexdigest())
             release()
