@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from ..functions.groups import hits_of_groups
 from ..functions.many import hits_of_pairs, may_be_hits
 from ..functions.residues import codes_of, lcs_of_masks, masks_of, pack_codes, threshold, unpack_codes
 from .base import forget, removed, scratch, spread, written
@@ -19,14 +20,26 @@ ROUND_BYTES = 64 << 20
 #: From this identity on, a pair's beginnings are looked at first: so many times the share of residues that a hit may leave out. Sequences that have nothing
 #: to do with each other leave out two fifths of theirs, so most misses are known by then.
 LOOK_FROM, LOOK = 70, 1.5
+#: Below this identity, pairs whose first sequence has more residues than that are aligned in groups; shorter rows or narrower ones are faster side by side.
+GROUPED_BELOW, GROUPED = 90, 2000
 #: The driver plans the rounds from so many sums over ranges of representatives at most.
 PLAN_ROWS = 4096
 
 
+def _with_groups(a: list[bytes], b: list[bytes], len_a: np.ndarray, len_b: np.ndarray, t: np.float32, others) -> np.ndarray:
+    """hits_of_groups for the pairs that are aligned in groups, others(a, b, len_a, len_b) for the rest."""
+    grouped, out = (len_a > GROUPED) & (t < threshold(GROUPED_BELOW)), np.zeros(len(a), np.int64)
+    for run, which in ((lambda *x: hits_of_groups(*x, t), grouped), (others, ~grouped)):
+        at = np.flatnonzero(which)
+        if len(at):
+            out[at] = run([a[k] for k in at], [b[k] for k in at], len_a[at], len_b[at])
+    return out
+
+
 def common_lengths(a: list[bytes], b: list[bytes], len_a: np.ndarray, len_b: np.ndarray, t: np.float32 | None = None) -> np.ndarray:
-    """The LCS of each pair of packed sequences; with a threshold, -1 or too little for a miss. What is worked out of a sequence serves the next pair as well."""
+    """The LCS of each pair of packed sequences; with a threshold, -1 or too little for a miss."""
     if t is not None:
-        return hits_of_pairs(a, b, len_a, len_b, t)
+        return _with_groups(a, b, len_a, len_b, t, lambda *x: hits_of_pairs(*x, t))
     out, known, masks = np.zeros(len(a), np.int64), None, []
     for k in range(len(a)):
         p, q = sorted(((a[k], int(len_a[k])), (b[k], int(len_b[k]))), key=lambda x: x[1], reverse=True)
@@ -36,6 +49,11 @@ def common_lengths(a: list[bytes], b: list[bytes], len_a: np.ndarray, len_b: np.
     return out
 
 
+def open_pairs(a: list[bytes], b: list[bytes], len_a: np.ndarray, len_b: np.ndarray, t: np.float32, share: float) -> np.ndarray:
+    """False for pairs that are misses by their beginnings, which are as long as may_be_hits has them and, of pairs in groups, both as long as the first one's."""
+    return _with_groups(a, b, len_a, len_b, t, lambda *x: np.where(may_be_hits(*x, t, share), -2, -1)) != -1
+
+
 def _packed(texts: pa.Array) -> pa.Array:
     """A sequence as two codes a byte, and how often it has each code but 0."""
     codes = [codes_of(x) for x in texts.to_pylist()]
@@ -118,9 +136,10 @@ def align(pairs: DataFrame, seqs: DataFrame, identity: int | None = None, spent:
         share = LOOK * (1 - identity / 100)
 
         def look(a: pa.Array, b: pa.Array, len_a: pa.Array, len_b: pa.Array) -> pa.Array:
-            return pa.array(may_be_hits(a.to_pylist(), b.to_pylist(), len_a.to_numpy(), len_b.to_numpy(), t, share))
+            return pa.array(open_pairs(a.to_pylist(), b.to_pylist(), len_a.to_numpy(), len_b.to_numpy(), t, share))
 
-        looked = _in_rounds(pairs, packed, size, F.arrow_udf(look, "boolean"), "open", share + 1 - identity / 100, share)
+        most = share + 1 - identity / 100
+        looked = _in_rounds(pairs, packed, size, F.arrow_udf(look, "boolean"), "open", most, most if identity < GROUPED_BELOW else share)
         removed(pairs)
         pairs = looked.where("open").select(*names)
     aligned = _in_rounds(pairs, packed, size, F.arrow_udf(run, "int"), "lcs")
