@@ -37,6 +37,7 @@ def test_groups_are_aligned_as_pairs_one_by_one(monkeypatch, held):
     for letters in ("AC", "ACDEFGHIKLNPRST", "ACZ", "Z"):
         pairs = some_groups(rng, [0, 1, 7, 8, 31, 32, 33, 200, 300, 450] * 2, letters)
         whole = [R.lcs(x, y) for x, y in pairs]
+        assert groups.lcs_of_groups(*arguments(pairs)).tolist() == whole
         for identity in (1, 50, 80, 95, 99):
             t = R.threshold(identity)
             is_hit = [R.is_hit(n, len(x), len(y), t) for n, (x, y) in zip(whole, pairs, strict=True)]
@@ -50,11 +51,14 @@ def test_groups_are_aligned_as_pairs_one_by_one(monkeypatch, held):
 
 
 def test_a_sequence_is_gone_through_once_for_all_its_pairs(monkeypatch):
-    """Before, each pair had rows and a pass of its own (fast_modularity)."""
+    """Before, each pair took its own pass over its codes (similarity_pairs), and each of the beginnings its own row (fast_modularity)."""
     rng = random.Random(5)
     x, *others = ([R.codes_of("".join(rng.choice("ACDEFGHIKLNPRST") for _ in range(n))) for n in [3000, *range(2990, 2970, -1)]])
     pairs, seen, after = [(x, y) for y in others], [], groups._after
     monkeypatch.setattr(groups, "_after", lambda codes, *rest: seen.append(len(codes)) or after(codes, *rest))
+    got = align.common_lengths(*arguments(pairs)).tolist()
+    assert got[:2] == [R.lcs(x, y) for y in others[:2]] and sum(seen) == len(x)
+    seen.clear()
     assert not align.open_pairs(*arguments(pairs, 0.5), R.threshold(80), 0.3).any() and 0 < sum(seen) < 1500
     seen.clear()
     near = [(x, np.delete(x, range(k, 3000, 40))) for k in range(5)]
